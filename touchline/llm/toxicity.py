@@ -73,6 +73,15 @@ def windows(word_off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(begin, word_off[-1]), np.concatenate([[0], np.cumsum(count)])
 
 
+def first_in_window(word: np.ndarray, win_off: np.ndarray) -> np.ndarray:
+    """Whether a word is the first of its kind in its window. Repeats add nothing to a window's sum but do to its size, so
+    that a single word said twelve times weighs as much as among eleven others."""
+    key = np.repeat(np.arange(len(win_off) - 1), np.diff(win_off)) * (int(word.max(initial=0)) + 1) + word
+    fresh = np.zeros(len(word), bool)
+    fresh[np.unique(key, return_index=True)[1]] = True
+    return fresh
+
+
 @dataclass
 class Model:
     """What scoring needs: the logit that each subword adds to the average, the bias, and the calibration."""
@@ -90,7 +99,8 @@ class Model:
         win_off, row_off = windows(word_off)
         top = np.full(len(column), self.clean)
         if len(win_off) > 1:
-            logit = np.add.reduceat(per_word[word], win_off[:-1]) / np.add.reduceat(size[word], win_off[:-1]) + self.bias
+            fresh = first_in_window(word, win_off)
+            logit = np.add.reduceat(per_word[word] * fresh, win_off[:-1]) / np.add.reduceat(size[word], win_off[:-1]) + self.bias
             full = row_off[:-1] < row_off[1:]
             top[full] = np.maximum.reduceat(logit, row_off[:-1][full])
         return top
@@ -99,7 +109,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.highest(column) + self.shift, -50, 50)))
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 3, rounds: int = 3, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: np.ndarray, population: dict[int, int] | None = None, epochs: int = 3, rounds: int = 3, seed: int = 7) -> Model:
     """Joint training of embeddings and softmax (adaptive gradient steps) on four fifths of the rows, then a logistic
     calibration of the highest window on the rest. Every fifth row of each label is of the rest, where each label has 10 rows."""
     labels = np.asarray(labels, int)
@@ -111,15 +121,18 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = 3, rounds: int = 3,
     model = _fit([t for t, r in zip(texts, rest, strict=True) if not r], labels[~rest], epochs, rounds, seed)
     use = rest if rest.any() else ~rest
     if model.slope:
-        _calibrate(model, pa.array([t for t, u in zip(texts, use, strict=True) if u], pa.string()), labels[use])
+        _calibrate(model, pa.array([t for t, u in zip(texts, use, strict=True) if u], pa.string()), labels[use], population or {})
     return model
 
 
-def _calibrate(model: Model, column: pa.Array, labels: np.ndarray) -> None:
-    """Slope and shift of the logistic curve that fits labels best, each label weighing as its square root of rows."""
+def _calibrate(model: Model, column: pa.Array, labels: np.ndarray, population: dict[int, int]) -> None:
+    """Slope and shift of the logistic curve that fits labels best; each label weighs as the square root of its rows in the
+    population, half-way between equal weights and the labels' own shares."""
     x = model.highest(column)
     t = labels.astype(float)
-    weight = np.where(labels == 1, 1 / np.sqrt(max(1, (labels == 1).sum())), 1 / np.sqrt(max(1, (labels == 0).sum())))
+    own = {c: max(1, int((labels == c).sum())) for c in (0, 1)}
+    each = {c: np.sqrt(max(population.get(c, 0), own[c])) / own[c] for c in (0, 1)}
+    weight = np.where(labels == 1, each[1], each[0])
     weight /= weight.mean()
     centre, scale = x.mean(), x.std() + 1e-9
     a, b = 1.0, 0.0
@@ -153,21 +166,25 @@ def _fit(texts: list[str], labels: np.ndarray, epochs: int, rounds: int, seed: i
     bias = np.zeros(2, np.float32)
     g_emb, g_out, g_bias = np.full(BUCKETS, 1e-6, np.float32), np.full((WIDTH, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
 
+    fresh = first_in_window(word, win_off)
+
     def flat(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Subwords of the windows, and the window (by place in which) of each."""
         count = (win_off[which + 1] - win_off[which]).astype(int)
         owner = np.repeat(np.arange(len(which)), count)
-        w = word[np.repeat(win_off[which], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        place = np.repeat(win_off[which], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        w, owner = word[place][fresh[place]], owner[fresh[place]]
         c = sizes[w]
         return ids[np.repeat(bag_off[w], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)], np.repeat(owner, c)
 
+    win_size = np.add.reduceat(sizes[word], win_off[:-1])
     use = np.arange(n)
     for _ in range(rounds):
         balance = np.array([0.5 / max(1, (y[use] == c).sum()) for c in (0, 1)]) * len(use)
         for _ in range(epochs):
             for batch in np.array_split(rng.permutation(use), max(1, len(use) // 256)):
                 sub, owner = flat(batch)
-                size = np.bincount(owner, minlength=len(batch)).astype(np.float32)[:, None]
+                size = win_size[batch].astype(np.float32)[:, None]
                 hidden = np.add.reduceat(emb[sub], np.searchsorted(owner, np.arange(len(batch)))) / size
                 z = hidden @ out + bias
                 p = np.exp(z - z.max(1, keepdims=True))
@@ -186,7 +203,7 @@ def _fit(texts: list[str], labels: np.ndarray, epochs: int, rounds: int, seed: i
                 bias -= 0.1 * d_bias / np.sqrt(g_bias)
         subword = (emb @ (out[:, 1] - out[:, 0])).astype(np.float64)
         per_word = segment_sum(subword[ids], bag_off)
-        logit = np.add.reduceat(per_word[word], win_off[:-1]) / np.add.reduceat(sizes[word], win_off[:-1]) + float(bias[1] - bias[0])
+        logit = np.add.reduceat(per_word[word] * fresh, win_off[:-1]) / win_size + float(bias[1] - bias[0])
         full = row_off[:-1] < row_off[1:]
         top = np.full(len(labels), np.nan)
         top[full] = np.maximum.reduceat(logit, row_off[:-1][full])
@@ -207,7 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < take[F.col("toxic")] * (1 << 30))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= FIT_BYTES)
     rows = texts.join(F.broadcast(picked), "id").orderBy("id", "text").collect()  # picked: about 2 * fit_docs small rows
-    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], int))
+    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], int), have)
 
 
 def _scores(model, holdout: tuple[int, int]):
