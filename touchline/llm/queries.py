@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, langid, near_dedup, secrets, sentencepiece_codec, suffix_dedup, token_counts, toxicity
+from . import decontaminate, exact_dedup, langid, near_dedup, secrets, sentencepiece_codec, suffix_dedup, token_counts, toxicity
 from .shared import documents
 
 
@@ -36,11 +36,15 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.drop_repeats(documents(spark, sf_dir))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_near_dedup, op4_toxicity, op6_token_counts, op7_secret_scan, op8_suffix_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_near_dedup, op4_toxicity, op6_token_counts, op7_secret_scan, op8_suffix_dedup, op9_decontamination, op10_exact_dedup)}
 
 ORACLE = {
     "op10_exact_dedup": r"""
