@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .textkit import LOWER, SPACE, U64, Hasher, mix, slices, text_bytes, word_spans
 
 #: An item is found where a substring is within this share of the item's length (in code points) by edit distance.
-EDIT_SHARE = 0.1
+EDIT_SHARE = 0.15
 #: Items of fewer normalised bytes aren't searched: they occur by chance.
 LEAST_ITEM = 32
 #: Places of entry of an item, walks, samples of each walk, and symbols of a sample.
