@@ -9,7 +9,7 @@ the probability of agreeing in one chunk: in all, a pair at exactly 0.75 is miss
 No bucket is expanded into all its pairs. Documents with equal sets are one representative. In a bucket, members are first held
 against the smallest one, the best of these pairs first; what is linked so is one component. Only pairs of a bucket that are still in
 different components are then compared, in cells of bounded size, by their signatures; whatever passes is confirmed on full
-shingle sets, so no link between components is lost. Components come from alternating stars over tables; nothing of this reaches the driver.
+shingle sets, so no link between components is lost. Components come from hooking and pointer jumping over tables; nothing of this reaches the driver.
 """
 
 from __future__ import annotations
@@ -19,20 +19,22 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .shared import materialize
+from .components import connected_components, relabel, roots
+from .shared import materialize, small
 from .textkit import LOWER, U64, Hasher, mix, slices, text_bytes, word_spans
 
 SHINGLE = 5
 #: Similarity as a ratio of whole numbers: linked if DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
 #: Symbols of a signature and their bits; chunks that are indexed, their symbols, and the errors that are enumerated.
-SYMBOLS, BITS, CHUNKS, CHUNK_SYMBOLS, ERRORS = 64, 16, 10, 5, 1
-#: Pairs that agree in fewer of the 64 symbols are not verified; at similarity 0.75 that happens once in 10 million.
-LEAST_AGREE = 29
+SYMBOLS, BITS, CHUNKS, CHUNK_SYMBOLS, ERRORS = 128, 16, 10, 5, 1
+#: Pairs that agree in fewer of the 128 symbols are not verified; at similarity exactly 0.75 that happens once in 30,000, at 0.77 once in a million.
+LEAST_AGREE = 76
+#: Bytes of a row with a signature, to judge whether a table may be broadcast.
+ROW_BYTES = 2 * SYMBOLS + 64
 #: Rows of a bucket on either side of a cell of pairs.
 CELL = 4096
 
@@ -62,6 +64,13 @@ def shingle_sets(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray,
     return (np.concatenate(out) if out else np.zeros(0, U64)), np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int64)
 
 
+def fingerprints(sets: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each set, equal for equal sets."""
+    one = np.concatenate([[U64(0)], np.cumsum(mix(sets ^ U64(0x5851F42D4C957F2D)), dtype=U64)])
+    two = np.concatenate([[U64(0)], np.cumsum(mix(sets + U64(0x14057B7EF767814F)), dtype=U64)])
+    return (one[off[1:]] - one[off[:-1]]).view(np.int64), (two[off[1:]] - two[off[:-1]]).view(np.int64)
+
+
 def signatures(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
     """A row of SYMBOLS b-bit symbols for each non-empty set (zeros for an empty one)."""
     out = np.zeros((len(off) - 1, SYMBOLS), np.uint16)
@@ -77,15 +86,14 @@ def _summaries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             sets, off = shingle_sets(part.column("text"))
-            sums = np.concatenate([[U64(0)], np.cumsum(mix(sets ^ U64(0x5851F42D4C957F2D)), dtype=U64)])
-            more = np.concatenate([[U64(0)], np.cumsum(mix(sets + U64(0x14057B7EF767814F)), dtype=U64)])
+            fp1, fp2 = fingerprints(sets, off)
             sig = signatures(sets, off)
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("id"),
                     pa.array(np.diff(off)),
-                    pa.array((sums[off[1:]] - sums[off[:-1]]).view(np.int64)),
-                    pa.array((more[off[1:]] - more[off[:-1]]).view(np.int64)),
+                    pa.array(fp1),
+                    pa.array(fp2),
                     pa.array([r.tobytes() for r in sig], pa.binary()),
                 ],
                 ["id", "n", "fp1", "fp2", "sig"],
@@ -104,10 +112,18 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
             h = np.full(len(sig), U64((chunk * 64 + sum(1 << k for k in kept)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF), U64)
             for k in kept:
                 h = mix(h + wide[:, chunk * CHUNK_SYMBOLS + k] + U64(1))
-            keys.append(h)
+            keys.append((h & ~U64(63)) | U64(len(keys)))  # the low bits name the chunk and what it leaves out
     return np.stack(keys, 1)
 
 
+def first_slot(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Of a signature and others: the first key slot (see chunk_keys) that they share, 64 if none. So a pair is taken in one bucket only."""
+    same = (others[:, : CHUNKS * CHUNK_SYMBOLS] == one[: CHUNKS * CHUNK_SYMBOLS]).reshape(-1, CHUNKS, CHUNK_SYMBOLS)
+    kept = list(combinations(range(CHUNK_SYMBOLS), CHUNK_SYMBOLS - ERRORS))
+    shared = np.stack([same[:, :, list(x)].all(2) for x in kept], 2).reshape(len(others), -1)
+    return np.where(shared.any(1), shared.argmax(1), 64)
+
+
 def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 2000):
@@ -145,27 +161,42 @@ def _confirmed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every shingle of the texts, with the text's id and fingerprint."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            sets, off = shingle_sets(part.column("text"))
+            row = np.repeat(np.arange(part.num_rows), np.diff(off))
+            yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), part.column("id").take(pa.array(row)), pa.array(fingerprints(sets, off)[0][row])], ["shingle", "rep", "fp1"])
+
+
 def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and cell: agreeing pairs of a cell whose members are in different components."""
+    """Of rows sorted by key and cell: pairs of a cell whose members are in different components and may be linked.
+
+    own is the number of a member's shingles that no other member of such buckets has: two members share at most the lesser of n - own,
+    which bounds their similarity from above before signatures are compared.
+    """
     held: list[pa.RecordBatch] = []
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         if rows.num_rows < 2:
             return
-        rep, label, n = (rows.column(c).to_numpy() for c in ("rep", "label", "n"))
+        rep, label, n, own, leader = (rows.column(c).to_numpy() for c in ("rep", "label", "n", "own", "leader"))
         part, one, two = (rows.column(c).to_numpy() for c in ("part", "i", "j"))
+        slot = int(rows.column("key")[0].as_py()) & 63
         sig = _as_matrix(rows.column("sig").combine_chunks())
         left, right = np.flatnonzero(part == one), np.flatnonzero(part == two)
         for a in left.tolist():
-            with_ = right[right > a] if one[0] == two[0] else right
-            with_ = with_[(label[with_] != label[a]) & (DEN * np.minimum(n[with_], n[a]) >= NUM * np.maximum(n[with_], n[a]))]
-            if len(with_):
-                sim = (sig[with_] == sig[a]).sum(1)
-                good = with_[sim >= LEAST_AGREE]
-                if len(good):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(rep[good], rep[a])), pa.array(np.maximum(rep[good], rep[a])), pa.array(sim[sim >= LEAST_AGREE].astype(np.int32))], ["a", "b", "sim"]
-                    )
+            if rep[a] == leader[a]:
+                continue  # pairs with the smallest member have been verified
+            w = right[right > a] if one[0] == two[0] else right
+            most = np.minimum(n[w] - own[w], n[a] - own[a])
+            w = w[(label[w] != label[a]) & (rep[w] != leader[a]) & (DEN * most >= NUM * (n[w] + n[a] - most))]
+            if len(w):
+                w = w[(sig[w] == sig[a]).sum(1) >= LEAST_AGREE]
+            if len(w):
+                w = w[first_slot(sig[a], sig[w]) == slot]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[w], rep[a])), pa.array(np.maximum(rep[w], rep[a]))], ["a", "b"])
 
     last = None
     for batch in batches:
@@ -184,29 +215,50 @@ def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(pa.Table.from_batches(held))
 
 
-class _Join:
-    """The steps of one run, over the tables that they share."""
-
-    def __init__(self, reps: DataFrame, texts: DataFrame):
-        self.reps, self.texts = reps, texts
-
-    def agreeing(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) with the number of symbols that agree, where it is enough."""
-        one = self.reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga"))
-        two = self.reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb"))
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "siga", "sigb").mapInArrow(_agreeing, "a bigint, b bigint, sim int")
-
-    def confirmed(self, pairs: DataFrame) -> DataFrame:
-        """Those pairs that are linked by their whole texts."""
-        one = self.texts.select(F.col("id").alias("a"), F.col("text").alias("texta"))
-        two = self.texts.select(F.col("id").alias("b"), F.col("text").alias("textb"))
-        return materialize(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "texta", "textb").mapInArrow(_confirmed, "a bigint, b bigint").distinct())
-
-
-def _relabel(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    return pairs.join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("la", "lb")
+def _agree(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the number of symbols that agree, where it is enough."""
+    one = small(reps.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga")), ROW_BYTES)
+    two = small(reps.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb")), ROW_BYTES)
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "siga", "sigb").mapInArrow(_agreeing, "a bigint, b bigint, sim int")
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those pairs that are linked by their whole texts."""
+    one = texts.select(F.col("id").alias("a"), F.col("text").alias("texta"))
+    two = texts.select(F.col("id").alias("b"), F.col("text").alias("textb"))
+    return materialize(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "texta", "textb").mapInArrow(_confirmed, "a bigint, b bigint"))
+
+
+def _compose(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels after links between their components; edges (la, lb) name components."""
+    higher = connected_components(edges.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    if higher is None:
+        return labels
+    up = small(higher.select(F.col("node").alias("label"), F.col("label").alias("higher")))
+    moved = labels.join(up, "label", "left").select("node", F.coalesce("higher", "label").alias("label"))
+    return materialize(moved.union(higher))  # what higher names has been a root or no node at all
+
+
+def _crossing(met: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Pairs that share a bucket, are in different components and may be linked; None if no bucket holds several components."""
+    member = met.join(small(labels.withColumnRenamed("node", "rep")), "rep", "left").select("key", "leader", "rep", F.coalesce("label", "rep").alias("label"))
+    mixed = member.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low != high and size > 2").select("key", "size")
+    member = materialize(member.join(mixed, "key"))
+    if not member.take(1):
+        return None
+    ids = materialize(member.select("rep").distinct())
+    shingles = texts.join(small(ids.withColumnRenamed("rep", "id"), 16), "id", "left_semi").mapInArrow(_shingle_rows, "shingle bigint, rep bigint, fp1 bigint")
+    lone = shingles.groupBy("shingle").agg(F.count("*").alias("texts"), F.min("rep").alias("rep"), F.min("fp1").alias("fp1")).where("texts = 1")
+    own = lone.groupBy("rep", "fp1").agg(F.count("*").alias("own"))
+    info = materialize(reps.join(small(ids, 16), "rep", "left_semi").join(own, ["rep", "fp1"], "left").select("rep", "n", F.coalesce("own", F.lit(0)).cast("bigint").alias("own"), "sig"))
+    cells = (
+        member.withColumn("parts", F.ceil(F.col("size") / CELL).cast("int"))
+        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("key", "leader", "rep", "label", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
+        .join(small(info, ROW_BYTES), "rep")
+    )
+    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cells, "a bigint, b bigint")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,44 +271,32 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = materialize(slim.mapInArrow(_summaries, "id bigint, n bigint, fp1 bigint, fp2 bigint, sig binary"))
     classes = materialize(rows.where("id is not null and n > 0").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
-    reps = classes.select("rep", "n", "sig")
-    keys = reps.mapInArrow(_keys, "key bigint, rep bigint")
+    reps = classes.select("rep", "fp1", "n", "sig")
+    keys = reps.select("rep", "sig").mapInArrow(_keys, "key bigint, rep bigint")
     shared = keys.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader != last").select("key", "leader")
-    met = materialize(keys.join(shared, "key").distinct())
-    stars = met.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    tools = _Join(reps, slim)
-    stars = materialize(tools.agreeing(stars))
+    met = materialize(keys.join(shared, "key"))
     # whole texts are needed of documents that share a key only
-    ids = met.select(F.col("rep").alias("id")).distinct()
-    tools.texts = materialize(slim.where("id is not null").join(ids, "id", "left_semi"))
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("sim", -F.col("a"))).alias("a")).select("a", "b")
-    links = tools.confirmed(best)
-    labels = materialize(connected_components(links))
-    rest = _relabel(stars.join(best, ["a", "b"], "left_anti"), labels)
-    more = tools.confirmed(rest)
-    links = links.union(more)
-    labels = materialize(connected_components(links))
-    # buckets that still hold several components: all pairs between these, in cells
-    member = met.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed = member.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low != high").select("key", "size")
-    parts = F.ceil(F.col("size") / CELL).cast("int")
-    cells = (
-        member.join(mixed, "key")
-        .withColumn("parts", parts)
-        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("key", "rep", "label", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
-        .join(reps, "rep")
-    )
-    crossing = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cells, "a bigint, b bigint, sim int").select("a", "b").distinct()
-    crossing = crossing.join(stars, ["a", "b"], "left_anti")
+    ids = materialize(met.select(F.col("rep").alias("id")).distinct())
+    texts = materialize(slim.where("id is not null").join(small(ids, 16), "id", "left_semi"))
+    # 1. members of a bucket against its smallest one; of a document's pairs, the most similar first
+    stars = _agree(met.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), reps)
+    stars = materialize(stars.withColumn("order", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("sim"), "a"))))
+    first = _confirm(stars.where("order = 1"), texts)
+    labels = roots(first.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")))
+    # 2. the other pairs, where they would tie two components
+    second = _confirm(relabel(stars.where("order > 1"), labels), texts)
+    labels = _compose(labels, relabel(second, labels))
+    # 3. all other pairs of buckets that still hold several components
+    crossing = _crossing(met, labels, reps, texts)
+    if crossing is not None:
+        labels = _compose(labels, relabel(_confirm(crossing, texts), labels))
     # several texts of one id tie their classes together
-    own = rows.where("id is not null and n > 0").join(classes.drop("sig"), ["fp1", "fp2", "n"]).groupBy("id").agg(F.min("rep").alias("a"), F.collect_set("rep").alias("reps"))
-    own = own.where(F.size("reps") > 1).select("a", F.explode("reps").alias("b")).where("a != b")
-    links = links.union(tools.confirmed(crossing)).union(own)
-    labels = materialize(connected_components(links))
-    known = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("label", "rep").alias("label"))
-    found = rows.join(known, ["fp1", "fp2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("label")).otherwise(F.col("id")).alias("label"))
+    member = rows.where("id is not null and n > 0").join(classes.drop("sig"), ["fp1", "fp2", "n"])
+    several = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).where("a != top").select("id", "a")
+    if several.take(1):
+        labels = _compose(labels, relabel(member.join(several, "id").select("a", F.col("rep").alias("b")).where("a != b"), labels))
+    known = classes.join(small(labels.withColumnRenamed("node", "rep")), "rep", "left").select("fp1", "fp2", "n", F.coalesce("label", "rep").alias("label"))
+    found = rows.drop("sig").join(known, ["fp1", "fp2", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("label")).otherwise(F.col("id")).alias("label"))
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("label").alias("component_id"), F.col("id").eqNullSafe(F.col("label")).alias("kept"))
 
 

@@ -28,5 +28,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, row_bytes: int = 24, limit: int = 12 << 20) -> DataFrame:
+    """df with a broadcast hint if its counted rows take up to limit bytes, else as it is. For tables that materialize() wrote: their
+    rows are counted from file footers."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

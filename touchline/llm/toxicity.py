@@ -25,7 +25,7 @@ BUCKETS, WIDTH, NGRAMS, WINDOW = 1 << 17, 8, (3, 4, 5, 6), 12
 #: A subword counts only if it is in so many documents of the sample: what is in fewer tells nothing of others.
 MIN_DOCUMENTS = 3
 #: Bounds of the fitting sample: documents of each label, and the longest text in bytes among them.
-FIT_DOCS, FIT_BYTES = 1500, 1 << 16
+FIT_DOCS, FIT_BYTES = 1200, 1 << 15
 
 #: Bytes of words: letters, digits and all of non-ASCII text.
 WORDY = np.zeros(256, bool)
@@ -49,14 +49,14 @@ def bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     hashed = Hasher(buf)
     _, at, word = np.unique(hashed(starts, ends), return_index=True, return_inverse=True)
     s, e = starts[at], ends[at]
-    ids, owner = [(hashed(s, e) & U64(BUCKETS - 1)).astype(np.int64)], [np.arange(len(s))]
+    ids, owner = [(hashed(s, e) & U64(BUCKETS - 1)).astype(np.int32)], [np.arange(len(s), dtype=np.int32)]
     for k in NGRAMS:
         count = np.maximum(e - s - k + 1, 0)
-        who = np.repeat(np.arange(len(s)), count)
+        who = np.repeat(np.arange(len(s), dtype=np.int32), count)
         begin = s[who] + np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
         edge = (begin == s[who]).astype(U64) + U64(2) * (begin + k == e[who]).astype(U64)  # n-grams at an edge are others
         h = (hashed(begin, begin + k) + edge * U64(0x9E3779B97F4A7C15)) >> U64(20)
-        ids.append((h & U64(BUCKETS - 1)).astype(np.int64))
+        ids.append((h & U64(BUCKETS - 1)).astype(np.int32))
         owner.append(who)
     owner, ids = np.concatenate(owner), np.concatenate(ids)
     order = np.argsort(owner, kind="stable")
@@ -153,14 +153,13 @@ def _fit(texts: list[str], labels: np.ndarray, epochs: int, rounds: int, seed: i
         return Model(np.zeros(BUCKETS, np.float64), 0.0, 0.0, float(np.log(rate / (1 - rate))), 0.0)
     doc = segment_ids(row_off)
     y = labels[doc]
-    word_doc = np.repeat(np.arange(len(labels)), np.diff(word_off))
-    pair = np.unique(word.astype(np.int64) * len(labels) + word_doc)
-    w, d = pair // len(labels), pair % len(labels)
-    count = np.diff(bag_off)[w]
-    sub = ids[np.repeat(bag_off[w], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-    seen = np.bincount(np.unique(sub * len(labels) + np.repeat(d, count)) // len(labels), minlength=BUCKETS)
-    shared = (seen >= MIN_DOCUMENTS).astype(np.float32)
     sizes = np.diff(bag_off)
+    seen = np.zeros(BUCKETS, np.int32)
+    for a, b in zip(word_off[:-1].tolist(), word_off[1:].tolist(), strict=True):
+        w = np.unique(word[a:b])
+        count = sizes[w]
+        seen[np.unique(ids[np.repeat(bag_off[w], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)])] += 1
+    shared = (seen >= MIN_DOCUMENTS).astype(np.float32)
     emb = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32) * shared[:, None]
     out = rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
