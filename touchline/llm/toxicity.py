@@ -9,6 +9,7 @@ are not averaged away.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ BUCKETS, WIDTH, NGRAMS, WINDOW = 1 << 17, 8, (3, 4, 5, 6), 12
 #: A subword counts only if it is in so many documents of the sample: what is in fewer tells nothing of others.
 MIN_DOCUMENTS = 3
 #: Bounds of the fitting sample: documents of each label, and the longest text in bytes among them.
-FIT_DOCS, FIT_BYTES = 1200, 1 << 15
+FIT_DOCS, FIT_BYTES = 1500, 1 << 13
 
 #: Bytes of words: letters, digits and all of non-ASCII text.
 WORDY = np.zeros(256, bool)
@@ -49,18 +50,19 @@ def bags(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     hashed = Hasher(buf)
     _, at, word = np.unique(hashed(starts, ends), return_index=True, return_inverse=True)
     s, e = starts[at], ends[at]
-    ids, owner = [(hashed(s, e) & U64(BUCKETS - 1)).astype(np.int32)], [np.arange(len(s), dtype=np.int32)]
-    for k in NGRAMS:
-        count = np.maximum(e - s - k + 1, 0)
+    counts = np.stack([np.ones_like(s), *(np.maximum(e - s - k + 1, 0) for k in NGRAMS)])
+    bag_off = np.concatenate([[0], np.cumsum(counts.sum(0))])
+    place = bag_off[:-1] + np.cumsum(counts, 0) - counts  # where the n-grams of a length begin in a word's bag
+    ids = np.empty(bag_off[-1], np.int32)
+    ids[place[0]] = hashed(s, e) & U64(BUCKETS - 1)
+    for k, count, at_ in zip(NGRAMS, counts[1:], place[1:], strict=True):
         who = np.repeat(np.arange(len(s), dtype=np.int32), count)
-        begin = s[who] + np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+        nth = np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+        begin = s[who] + nth
         edge = (begin == s[who]).astype(U64) + U64(2) * (begin + k == e[who]).astype(U64)  # n-grams at an edge are others
         h = (hashed(begin, begin + k) + edge * U64(0x9E3779B97F4A7C15)) >> U64(20)
-        ids.append((h & U64(BUCKETS - 1)).astype(np.int32))
-        owner.append(who)
-    owner, ids = np.concatenate(owner), np.concatenate(ids)
-    order = np.argsort(owner, kind="stable")
-    return ids[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(s)))]), word, np.searchsorted(starts, off)
+        ids[at_[who] + nth] = h & U64(BUCKETS - 1)
+    return ids, bag_off, word, np.searchsorted(starts, off)
 
 
 def windows(word_off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +208,8 @@ def _fit(texts: list[str], labels: np.ndarray, epochs: int, rounds: int, seed: i
         full = row_off[:-1] < row_off[1:]
         top = np.full(len(labels), np.nan)
         top[full] = np.maximum.reduceat(logit, row_off[:-1][full])
-        use = np.flatnonzero((y == 0) | (logit == top[doc]) | (logit > 0))
+        hard = logit >= np.quantile(logit[y == 0], 0.8)  # the clean windows nearest to toxic ones, and a fifth of the others
+        use = np.flatnonzero(np.where(y == 0, hard | (rng.random(n) < 0.2), (logit == top[doc]) | (logit > 0)))
     return Model(subword, float(bias[1] - bias[0]), 1.0, 0.0, float(np.median(top[full & (labels == 0)])))
 
 
@@ -222,8 +225,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     take = F.create_map(*[x for k in (0, 1) for x in (F.lit(k), F.lit(min(1.0, fit_docs / max(1, have.get(k, 0)))))])
     picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < take[F.col("toxic")] * (1 << 30))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= FIT_BYTES)
-    rows = texts.join(F.broadcast(picked), "id").orderBy("id", "text").collect()  # picked: about 2 * fit_docs small rows
-    return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], int), have)
+    rows = texts.join(F.broadcast(picked), "id").select("id", "text", "toxic")  # picked: about 2 * fit_docs small rows
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("id", "text", "toxic")), strict=True)]
+        found.sort()
+        model = fit([x[1] for x in found], np.array([x[2] for x in found], int), have)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    # the bounded sample is fitted in one task, so that neither its texts nor the training weigh on the driver
+    fitted = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else fit([], np.zeros(0, int))
 
 
 def _scores(model, holdout: tuple[int, int]):
