@@ -8,7 +8,7 @@ the probability of agreeing in one chunk: in all, a pair at exactly 0.75 is miss
 
 No bucket is expanded into all its pairs. Documents with equal sets are one representative. In a bucket, members are first held
 against the smallest one, the best of these pairs first; what is linked so is one component. Only pairs of a bucket that are still in
-different components are then compared, in cells of bounded size, by their signatures; whatever passes is confirmed on full
+different components are then compared, in cells of bounded size, by their signatures; whatever passes is confirmed in the cell on full
 shingle sets, so no link between components is lost. Components come from hooking and pointer jumping over tables; nothing of this reaches the driver.
 """
 
@@ -36,7 +36,7 @@ LEAST_AGREE = 76
 #: Bytes of a row with a signature, to judge whether a table may be broadcast.
 ROW_BYTES = 2 * SYMBOLS + 64
 #: Rows of a bucket on either side of a cell of pairs.
-CELL = 4096
+CELL = 1024
 
 _rng = np.random.default_rng(97531)
 WORD_FACTORS = _rng.integers(1, 1 << 63, SHINGLE).astype(U64) * U64(2) + U64(1)
@@ -170,22 +170,41 @@ def _shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), part.column("id").take(pa.array(row)), pa.array(fingerprints(sets, off)[0][row])], ["shingle", "rep", "fp1"])
 
 
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (key, i, j) of a partition that is sorted by these."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
+        edges = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for x, y in zip(edges, edges[1:], strict=False):
+            now = tuple(cell[:, x].tolist())
+            if now != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(x, y - x))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and cell: pairs of a cell whose members are in different components and may be linked.
+    """For each cell, its members that may be linked to a member in another component, one of the two with its partners.
 
     own is the number of a member's shingles that no other member of such buckets has: two members share at most the lesser of n - own,
     which bounds their similarity from above before signatures are compared.
     """
-    held: list[pa.RecordBatch] = []
-
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    for rows in _runs(batches):
         if rows.num_rows < 2:
-            return
+            continue
         rep, label, n, own, leader = (rows.column(c).to_numpy() for c in ("rep", "label", "n", "own", "leader"))
         part, one, two = (rows.column(c).to_numpy() for c in ("part", "i", "j"))
         slot = int(rows.column("key")[0].as_py()) & 63
         sig = _as_matrix(rows.column("sig").combine_chunks())
         left, right = np.flatnonzero(part == one), np.flatnonzero(part == two)
+        partners: dict[int, np.ndarray] = {}
         for a in left.tolist():
             if rep[a] == leader[a]:
                 continue  # pairs with the smallest member have been verified
@@ -196,23 +215,45 @@ def _cells(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 w = w[(sig[w] == sig[a]).sum(1) >= LEAST_AGREE]
             if len(w):
                 w = w[first_slot(sig[a], sig[w]) == slot]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[w], rep[a])), pa.array(np.maximum(rep[w], rep[a]))], ["a", "b"])
-
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cell = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")])
-        edges = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-        for x, y in zip(edges, edges[1:], strict=False):
-            now = tuple(cell[:, x].tolist())
-            if now != last and held:
-                yield from pairs(pa.Table.from_batches(held))
-                held = []
-            held.append(batch.slice(x, y - x))
-            last = now
-    if held:
-        yield from pairs(pa.Table.from_batches(held))
+            if len(w):
+                partners[a] = w
+        if partners:
+            use = np.unique(np.concatenate([*partners.values(), np.array(list(partners))]))
+            lists = [rep[partners[k]].tobytes() if k in partners else b"" for k in use.tolist()]
+            yield pa.RecordBatch.from_arrays([rows.column(c).combine_chunks().take(pa.array(use)) for c in ("key", "i", "j", "rep", "label")] + [pa.array(lists, pa.binary())], ["key", "i", "j", "rep", "label", "partners"])
+
+
+def _verified(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each cell, confirmed on the whole texts of its members. A pair whose components are tied by then isn't needed."""
+    for rows in _runs(batches):
+        sets, off = shingle_sets(rows.column("text").combine_chunks())
+        rep, label = rows.column("rep").to_pylist(), rows.column("label").to_pylist()
+        at: dict[int, list[int]] = {}
+        for k, r in enumerate(rep):
+            at.setdefault(r, []).append(k)
+        tied = {x: x for x in label}
+
+        def root(x: int, tied: dict[int, int] = tied) -> int:
+            while tied[x] != x:
+                tied[x] = x = tied[tied[x]]
+            return x
+
+        links = set()
+        for k, mine in enumerate(rows.column("partners").to_pylist()):
+            x = sets[off[k] : off[k + 1]]
+            for other in np.frombuffer(mine, np.int64).tolist():
+                for m in at.get(other, ()):
+                    a, b = root(label[k]), root(label[m])
+                    y = sets[off[m] : off[m + 1]]
+                    if a == b or DEN * min(len(x), len(y)) < NUM * max(len(x), len(y)):
+                        continue
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if DEN * common >= NUM * (len(x) + len(y) - common):
+                        tied[max(a, b)] = min(a, b)
+                        links.add((min(rep[k], other), max(rep[k], other)))
+        if links:
+            one, two = zip(*sorted(links), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
 
 
 def _agree(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -240,7 +281,7 @@ def _compose(labels: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _crossing(met: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """Pairs that share a bucket, are in different components and may be linked; None if no bucket holds several components."""
+    """Links between members of a bucket that are in different components; None if no bucket holds several components."""
     member = met.join(small(labels.withColumnRenamed("node", "rep")), "rep", "left").select("key", "leader", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = member.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low != high and size > 2").select("key", "size")
     member = materialize(member.join(mixed, "key"))
@@ -258,7 +299,10 @@ def _crossing(met: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFra
         .select("key", "leader", "rep", "label", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
         .join(small(info, ROW_BYTES), "rep")
     )
-    return cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_cells, "a bigint, b bigint")
+    cell = ["key", "i", "j"]
+    maybe = cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_cells, "key bigint, i int, j int, rep bigint, label bigint, partners binary")
+    whole = maybe.join(texts.select(F.col("id").alias("rep"), "text"), "rep")
+    return materialize(whole.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_verified, "a bigint, b bigint"))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,7 +333,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # 3. all other pairs of buckets that still hold several components
     crossing = _crossing(met, labels, reps, texts)
     if crossing is not None:
-        labels = _compose(labels, relabel(_confirm(crossing, texts), labels))
+        labels = _compose(labels, relabel(crossing, labels))
     # several texts of one id tie their classes together
     member = rows.where("id is not null and n > 0").join(classes.drop("sig"), ["fp1", "fp2", "n"])
     several = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("top")).where("a != top").select("id", "a")
