@@ -156,7 +156,9 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = np.repeat(np.arange(part.num_rows), size)
             a, b = at >> 16, (at >> 16) + (at & 0xFFFF) + LENGTH
             data = [texts[k][x:y] for k, x, y in zip(owner.tolist(), a.tolist(), b.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor), part.column("id").take(pa.array(owner)), pa.array(a), pa.array(data, pa.binary())], ["anchor", "id", "start", "data"])
+            whole = pa.array([len(d) == y - x for d, x, y in zip(data, a.tolist(), b.tolist(), strict=True)], pa.bool_())  # not so where rows share an id
+            out = pa.RecordBatch.from_arrays([pa.array(anchor), part.column("id").take(pa.array(owner)), pa.array(a), pa.array(data, pa.binary())], ["anchor", "id", "start", "data"])
+            yield out.filter(whole)
 
 
 def repeated_windows(pieces: list[bytes], ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
