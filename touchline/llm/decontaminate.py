@@ -26,14 +26,16 @@ EDIT_SHARE = 0.15
 #: Items of fewer normalised bytes aren't searched: they occur by chance.
 LEAST_ITEM = 32
 #: Places of entry of an item, walks, samples of each walk, and symbols of a sample.
-ANCHORS, WALKS, SAMPLES, SYMBOLS = 16, 3, 4, 6
-#: Steps of long and short items' walks, the first step that is sampled, and the bytes of an item that make it a long one.
-LONG_STEPS, SHORT_STEPS, LONG_ITEM = (16, 96), (8, 40), 120
+ANCHORS, WALKS, SAMPLES, SYMBOLS = 16, 2, 6, 6
+#: Steps of long and short items' walks that are sampled (a walk goes on a byte in two steps: the first ones read the anchor, which
+#: is known to be equal and tells nothing), and the bytes of an item that make it a long one.
+LONG_STEPS, SHORT_STEPS, LONG_ITEM = (24, 96), (20, 52), 120
 #: Bytes of item texts that are broadcast at once. A larger benchmark is searched in so many blocks.
 BLOCK_BYTES = 8 << 20
 
 _rng = np.random.default_rng(424242)
-MOVES = _rng.integers(0, 2, (WALKS, LONG_STEPS[1], 256)).astype(np.int64)
+MOVES = _rng.integers(0, 2, (WALKS, LONG_STEPS[1], 256)).astype(np.int32)
+MOVES[:, :, 0] = 0  # a walk stays at the end of its text, a zero byte
 PICKS = {steps: np.sort(np.stack([[_rng.choice(np.arange(*steps), SYMBOLS, replace=False) for _ in range(SAMPLES)] for _ in range(WALKS)]), -1) for steps in (LONG_STEPS, SHORT_STEPS)}
 
 
@@ -58,19 +60,25 @@ def normalized(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out[left], at - np.searchsorted(tails, at)
 
 
-def walk_keys(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: tuple[int, int]) -> np.ndarray:
-    """LSH keys of the windows from starts (symbols at or after ends are 0): a row of WALKS * SAMPLES for each."""
-    padded = np.append(buf, np.uint8(0))
+def closed(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The texts with a zero byte behind each: what begins at b in the n-th text begins at b + n here."""
+    out = np.zeros(len(buf) + len(off) - 1, np.uint8)
+    keep = np.ones(len(out), bool)
+    keep[off[1:] + np.arange(len(off) - 1)] = False
+    out[keep] = buf
+    return out
+
+
+def walk_keys(texts: np.ndarray, starts: np.ndarray, steps: tuple[int, int], anchors: np.ndarray) -> np.ndarray:
+    """LSH keys of the windows that begin at starts of closed texts, each with the hash of its anchor: a row of WALKS * SAMPLES."""
     keys = np.empty((len(starts), WALKS * SAMPLES), U64)
     for w in range(WALKS):
-        trace, pos = np.empty((steps[1], len(starts)), np.uint8), starts.copy()
+        trace, pos = np.empty((steps[1], len(starts)), np.uint8), starts.astype(np.int32)
         for t in range(steps[1]):
-            c = padded[np.minimum(pos, ends)]
-            c[pos >= ends] = 0
-            trace[t] = c
-            pos += MOVES[w, t, c]
+            c = np.take(texts, pos, out=trace[t])
+            pos += MOVES[w, t][c]
         for s in range(SAMPLES):
-            h = np.full(len(starts), U64((w * SAMPLES + s + 1) * 0x9E3779B97F4A7C15 + steps[1] & 0xFFFFFFFFFFFFFFFF), U64)
+            h = anchors ^ U64((w * SAMPLES + s + 1) * 0x9E3779B97F4A7C15 + steps[1] & 0xFFFFFFFFFFFFFFFF)
             for t in PICKS[steps][w, s].tolist():
                 h = mix(h * U64(31) + trace[t].astype(U64))
             keys[:, w * SAMPLES + s] = h
@@ -104,23 +112,22 @@ def best_substring_distance(item: str, text: str, most: int) -> int:
 
 @dataclass
 class Index:
-    """Of a block of items: sorted LSH keys with item and place of each, hashes of the anchor words, and the normalised texts."""
+    """Of a block of items: sorted LSH keys with item and place of each, sorted hashes of the anchor words of each kind of walk, and the normalised texts."""
 
     ids: list
     texts: list[bytes]
     keys: np.ndarray
     item: np.ndarray
     place: np.ndarray
-    words: np.ndarray
-    present: np.ndarray
-    tiers: list[tuple[int, int]]
+    words: dict[tuple[int, int], np.ndarray]
 
 
 def build_index(ids: list, texts: list[str | None]) -> Index:
     buf, off = normalized(pa.array(texts, pa.string()))
-    keys, items, places, words, tiers = [], [], [], [], []
+    keys, items, places, words = [], [], [], {}
     starts, ends, word_off = word_spans(buf, off)
     hashed = Hasher(buf)(starts, ends)
+    ended = closed(buf, off)
     for k in range(len(ids)):
         a, b = int(off[k]), int(off[k + 1])
         if b - a < LEAST_ITEM:
@@ -129,36 +136,34 @@ def build_index(ids: list, texts: list[str | None]) -> Index:
         own = np.arange(word_off[k], word_off[k + 1])
         room = own[b - starts[own] >= min(b - a, int(0.6 * steps[1]))]  # a walk of so many steps reaches half as far
         chosen = room[np.lexsort((starts[room], starts[room] - ends[room]))][:ANCHORS]
-        found = walk_keys(buf, starts[chosen], np.full(len(chosen), b), steps)
+        found = walk_keys(ended, starts[chosen] + k, steps, hashed[chosen])
         keys.append(found.ravel())
         items.append(np.full(found.size, k))
         places.append(np.repeat(starts[chosen] - a, found.shape[1]))
-        words.append(hashed[chosen])
-        if steps not in tiers:
-            tiers.append(steps)
+        words.setdefault(steps, []).append(hashed[chosen])
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
     keys, order = join(keys, U64), None
     order = np.argsort(keys, kind="stable")
-    words = np.unique(join(words, U64))
-    present = np.zeros(1 << 20, bool)
-    present[(words >> U64(44)).astype(np.int64)] = True
+    words = {steps: np.unique(np.concatenate(x)) for steps, x in words.items()}
     raw = buf.tobytes()
-    return Index(list(ids), [raw[off[k] : off[k + 1]] for k in range(len(ids))], keys[order], join(items, np.int64)[order], join(places, np.int64)[order], words, present, tiers)
+    return Index(list(ids), [raw[off[k] : off[k + 1]] for k in range(len(ids))], keys[order], join(items, np.int64)[order], join(places, np.int64)[order], words)
 
 
 def candidates(buf: np.ndarray, off: np.ndarray, index: Index) -> np.ndarray:
     """Distinct (row, item, supposed begin of the item in the buffer), sorted."""
     starts, ends, word_off = word_spans(buf, off)
     h = Hasher(buf)(starts, ends)
-    maybe = np.flatnonzero(index.present[(h >> U64(44)).astype(np.int64)])
-    at = np.searchsorted(index.words, h[maybe])
-    maybe = maybe[index.words[np.minimum(at, len(index.words) - 1)] == h[maybe]]
-    row = np.searchsorted(word_off, maybe, "right") - 1
-    found = []
-    for steps in index.tiers:
-        for k in range(0, len(maybe), 50_000):
-            own, r = starts[maybe[k : k + 50_000]], row[k : k + 50_000]
-            keys = walk_keys(buf, own, off[r + 1], steps)
+    texts, found = closed(buf, off), []
+    for steps, words in index.words.items():
+        present = np.zeros(1 << 16, bool)
+        present[(words >> U64(48)).astype(np.int64)] = True
+        maybe = np.flatnonzero(present[(h >> U64(48)).astype(np.int64)])
+        at = np.searchsorted(words, h[maybe])
+        maybe = maybe[words[np.minimum(at, len(words) - 1)] == h[maybe]]
+        row = np.searchsorted(word_off, maybe, "right") - 1
+        for k in range(0, len(maybe), 20_000):
+            own, r = starts[maybe[k : k + 20_000]], row[k : k + 20_000]
+            keys = walk_keys(texts, own + r, steps, h[maybe[k : k + 20_000]])
             low, high = np.searchsorted(index.keys, keys, "left"), np.searchsorted(index.keys, keys, "right")
             many = (high - low).ravel()
             which = np.repeat(np.arange(keys.size), many)
