@@ -91,7 +91,8 @@ def decisive_cause(spark: SparkSession, sf: str) -> DataFrame:
 def self_quote(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that name the supplier of an earlier line of their order; a window instead of a self join."""
     w = Window.partitionBy("l_orderkey", "l_suppkey")
-    return table(spark, sf, "lineitem").withColumn("quoted", F.min("l_linenumber").over(w)).where("l_linenumber > quoted").select("l_orderkey", "l_linenumber", "quoted").distinct()
+    later = table(spark, sf, "lineitem").withColumn("quoted", F.min("l_linenumber").over(w)).where("l_linenumber > quoted")
+    return later.groupBy("l_orderkey", "l_linenumber").agg(F.min("quoted").alias("quoted"))
 
 
 def _later(li: DataFrame, key: str, name: str) -> DataFrame:
