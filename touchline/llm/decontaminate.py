@@ -71,17 +71,16 @@ def closed(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def walk_keys(texts: np.ndarray, starts: np.ndarray, steps: tuple[int, int], anchors: np.ndarray) -> np.ndarray:
     """LSH keys of the windows that begin at starts of closed texts, each with the hash of its anchor: a row of WALKS * SAMPLES."""
-    keys = np.empty((len(starts), WALKS * SAMPLES), U64)
+    keys, sample = np.empty((len(starts), WALKS * SAMPLES), U64), np.zeros((len(starts), 8), np.uint8)  # a sample's symbols fit a word
     for w in range(WALKS):
         trace, pos = np.empty((steps[1], len(starts)), np.uint8), starts.astype(np.int32)
         for t in range(steps[1]):
             c = np.take(texts, pos, out=trace[t])
             pos += MOVES[w, t][c]
         for s in range(SAMPLES):
-            h = anchors ^ U64((w * SAMPLES + s + 1) * 0x9E3779B97F4A7C15 + steps[1] & 0xFFFFFFFFFFFFFFFF)
-            for t in PICKS[steps][w, s].tolist():
-                h = mix(h * U64(31) + trace[t].astype(U64))
-            keys[:, w * SAMPLES + s] = h
+            sample[:, :SYMBOLS] = trace[PICKS[steps][w, s]].T
+            salt = U64((w * SAMPLES + s + 1) * 0x9E3779B97F4A7C15 + steps[1] & 0xFFFFFFFFFFFFFFFF)
+            keys[:, w * SAMPLES + s] = mix((anchors ^ salt) + sample.view(U64)[:, 0])
     return keys
 
 
@@ -121,6 +120,12 @@ class Index:
     place: np.ndarray
     words: dict[tuple[int, int], np.ndarray]
 
+    def __post_init__(self):
+        """Slots by the keys' first bits, sixteen a key or more: most keys of a document meet an empty one and aren't searched for."""
+        self.shift = U64(64 - max(16, (16 * len(self.keys)).bit_length()))
+        self.slots = np.zeros(1 << int(U64(64) - self.shift), bool)
+        self.slots[(self.keys >> self.shift).astype(np.int64)] = True
+
 
 def build_index(ids: list, texts: list[str | None]) -> Index:
     buf, off = normalized(pa.array(texts, pa.string()))
@@ -164,11 +169,13 @@ def candidates(buf: np.ndarray, off: np.ndarray, index: Index) -> np.ndarray:
         for k in range(0, len(maybe), 20_000):
             own, r = starts[maybe[k : k + 20_000]], row[k : k + 20_000]
             keys = walk_keys(texts, own + r, steps, h[maybe[k : k + 20_000]])
-            low, high = np.searchsorted(index.keys, keys, "left"), np.searchsorted(index.keys, keys, "right")
-            many = (high - low).ravel()
-            which = np.repeat(np.arange(keys.size), many)
-            entry = low.ravel()[which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
-            window = which // keys.shape[1]
+            met = np.flatnonzero(index.slots[(keys >> index.shift).astype(np.int64)])
+            wanted = keys.ravel()[met]
+            low, high = np.searchsorted(index.keys, wanted, "left"), np.searchsorted(index.keys, wanted, "right")
+            many = high - low
+            which = np.repeat(np.arange(len(met)), many)
+            entry = low[which] + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+            window = met[which] // keys.shape[1]
             found.append(np.stack([r[window], index.item[entry], own[window] - index.place[entry]], 1))
     return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
 
