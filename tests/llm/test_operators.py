@@ -266,6 +266,29 @@ def test_leaks_recall_and_distance(spark):
     assert many == set(got)
     assert {r["doc_id"] for r in decontaminate.drop_leaks(docs, bench).collect()} == set(texts) - {i for i, _ in got}
 
+def edited(rnd, text, n, letters="abcdefghij xyz"):
+    for _ in range(n):
+        k = rnd.randrange(len(text))
+        text = rnd.choice([text[:k] + text[k + 1 :], text[:k] + rnd.choice(letters) + text[k:], text[:k] + rnd.choice(letters) + text[k + 1 :]])
+    return text
+
+
+def test_leaks_of_short_items(spark):
+    """Items of 1 to 80 bytes, quoted and edited up to the threshold: exactly what brute force finds."""
+    rnd = random.Random(11)
+    items = [(k, prose(rnd, 20)[:n].strip()) for k, n in enumerate([1, 6, *range(10, 81, 5)])] + [(50, "短い文も見つける。"), (51, "")]
+    rows = []
+    for k, t in items[:-1]:
+        for share in (0, 0.5, 1):
+            rows.append((len(rows), prose(rnd, 12) + ' "' + edited(rnd, t, int(share * decontaminate.EDIT_SHARE * len(t))) + '", ' + prose(rnd, 12)))
+    rows.append((len(rows), "これはとても短い文も見つける。という例"))
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.leaks(docs, bench).collect()}
+    norm = lambda t: bytes(decontaminate.normalized(pa.array([t]))[0]).decode()
+    want = {(i, k): edit_substring(norm(t), norm(x)) for i, x in rows for k, t in items if t}
+    assert got == {(i, k): d for (i, k), d in want.items() if d <= int(decontaminate.EDIT_SHARE * len(norm(dict(items)[k])))}
+    assert len({k for _, k in got}) == len(items) - 1
+
 
 def test_myers_distance():
     rnd = random.Random(6)
