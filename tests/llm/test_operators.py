@@ -290,6 +290,19 @@ def test_leaks_of_short_items(spark):
     assert len({k for _, k in got}) == len(items) - 1
 
 
+def test_leaks_without_blanks(spark):
+    """Long items in running text of a script without blanks, as they stand and with a tenth of the letters edited."""
+    rnd = random.Random(12)
+    letters = [chr(0x4E00 + k) for k in range(1500)]
+    run = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    items = [(k, run(rnd.randint(140, 300))) for k in range(30)]
+    rows = [(2 * k + e, run(90) + edited(rnd, t, e * len(t) // 10, letters) + run(90)) for k, t in items for e in (0, 1)]
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["distance"] for r in decontaminate.leaks(docs, bench).collect()}
+    assert {(2 * k, k): 0 for k, _ in items}.items() <= got.items()
+    assert all(i // 2 == k for i, k in got) and len(got) >= 57
+
+
 def test_myers_distance():
     rnd = random.Random(6)
     for _ in range(200):

@@ -4,7 +4,8 @@ Texts are normalised (A-Z lower-cased, a run of white space is one blank, none a
 writes the symbol under the cursor and moves on or stays, as a random table says for that step and symbol; windows a few edits apart
 fall into step again, so edit distance becomes Hamming distance. LSH keys are symbols sampled at random steps, several times and for
 several walks. Item-sized windows of a document are those that begin where one of the item's anchors stands, shifted back by the anchor's
-place in the item; a key shared with the item's window at that anchor makes a candidate. Anchors are the item's longest words.
+place in the item; a key shared with the item's window at that anchor makes a candidate. Anchors are the item's longest words, and
+rare runs of GRAM bytes all over it, which are looked for at every byte of a document, so that no blanks are needed around them.
 Candidates are verified exactly: Myers' bit-vector edit distance of the whole item against the best substring near the window.
 A long item needs only one of its places of entry to survive edits, which gives the recall that the tests measure.
 
@@ -31,6 +32,8 @@ EDIT_SHARE = 0.15
 EXACT_ITEM = 128
 #: Words that are places of entry of an item, walks, samples of each walk, and symbols of a sample.
 ANCHORS, WALKS, SAMPLES, SYMBOLS = 16, 2, 6, 6
+#: Runs of bytes that are places of entry beside the words, and their length.
+GRAMS, GRAM = 16, 8
 #: Steps of the walks that are sampled (a walk goes on a byte in two steps: the first ones read the anchor, which is known to be
 #: equal and tells nothing).
 STEPS = (24, 96)
@@ -248,6 +251,8 @@ def build_index(ids: list, texts: list[str | None], edit_share: float = EDIT_SHA
     starts, ends, word_off = word_spans(buf, off)
     hashed = Hasher(buf)(starts, ends)
     ended, eight, raw = closed(buf, off), runs(buf), buf.tobytes()
+    value, which, often = np.unique(eight, return_inverse=True, return_counts=True)
+    often = often[which] if len(value) else often
     for k in range(len(ids)):
         a, b = int(off[k]), int(off[k + 1])
         if len(raw[a:b].decode()) <= EXACT_ITEM:
@@ -257,12 +262,15 @@ def build_index(ids: list, texts: list[str | None], edit_share: float = EDIT_SHA
         own = np.arange(word_off[k], word_off[k + 1])
         room = own[starts[own] <= last]
         chosen = room[np.lexsort((starts[room], starts[room] - ends[room]))][:ANCHORS]
-        at, anchors = starts[chosen], hashed[chosen]
+        cuts = np.linspace(a, last + 1, GRAMS + 1).astype(int)  # the rarest run of each stretch
+        rare = np.array([c + np.lexsort((mix(eight[c:d]), often[c:d]))[0] for c, d in zip(cuts, cuts[1:], strict=False)])
+        at, anchors = np.concatenate([starts[chosen], rare]), np.concatenate([hashed[chosen], mix(eight[rare])])
         found = walk_keys(ended, at + k, anchors)
         keys.append(found.ravel())
         items.append(np.full(found.size, k))
         places.append(np.repeat(at - a, found.shape[1]))
         words.append(hashed[chosen])
+        grams.append(eight[rare])
     join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
     keys = join(keys, U64)
     order = np.argsort(keys, kind="stable")
