@@ -150,6 +150,16 @@ def test_rare_words_by_shuffle(docs, monkeypatch):
     assert all(r["base_score"] == pytest.approx(want[i][4], rel=1e-9) and r["n_known"] == want[i][2] for i, r in got.items())
 
 
+def test_the_fitting_sample_is_bounded_without_ids(spark, monkeypatch):
+    sizes, fit = [], lm_scoring.Attention.fit
+    monkeypatch.setattr(lm_scoring, "FIT_TEXTS", 20)
+    monkeypatch.setattr(lm_scoring.Attention, "fit", lambda self, rows, *a, **k: (sizes.append(len(rows)), fit(self, rows, *a, steps=2)))
+    for own in (None, 20):  # hashes of a repeated id alone under the threshold, or none
+        docs = spark.createDataFrame([(own, f"word{k}") for k in range(400)], "doc_id bigint, text string")
+        lm_scoring.score(docs).collect()
+    assert len(sizes) == 2 and 0 < min(sizes) and max(sizes) <= 20
+
+
 def test_attention_is_causal_and_normalised():
     net = lm_scoring.Attention()
     rows = np.random.default_rng(0).integers(0, 1000, (2, lm_scoring.WINDOW))
