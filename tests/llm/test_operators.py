@@ -150,6 +150,16 @@ def test_rare_words_by_shuffle(docs, monkeypatch):
     assert all(r["base_score"] == pytest.approx(want[i][4], rel=1e-9) and r["n_known"] == want[i][2] for i, r in got.items())
 
 
+@pytest.mark.parametrize(("sample", "least"), [(0, -2.0), (600, -0.5)])
+def test_the_model_learns_from_all_texts(spark, monkeypatch, sample, least):
+    """Texts over FIT_BYTES: they are in the sample to start from, and without one the model isn't the untrained one (128 classes: -2.1 a subword)."""
+    monkeypatch.setattr(lm_scoring, "FIT_TEXTS", sample)
+    text = "one two three four five six seven eight " * 3000
+    docs = spark.createDataFrame([(k, text) for k in range(8)], "doc_id bigint, text string")
+    assert len(text) > lm_scoring.FIT_BYTES
+    assert all(r["score"] / r["n_tokens"] > least for r in lm_scoring.score(docs).collect())
+
+
 def test_the_fitting_sample_is_bounded_without_ids(spark, monkeypatch):
     sizes, fit = [], lm_scoring.Attention.fit
     monkeypatch.setattr(lm_scoring, "FIT_TEXTS", 20)
