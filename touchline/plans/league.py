@@ -224,5 +224,15 @@ def lost_members(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH s AS (SELECT l_suppkey, l_orderkey, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem WHERE l_suppkey % 10 = 0 GROUP BY 1, 2 HAVING count(*) > 1)
   SELECT x.l_suppkey, x.l_orderkey AS one, y.l_orderkey AS two FROM s x JOIN s y ON x.l_suppkey = y.l_suppkey AND x.a < y.b AND y.a < x.b AND x.l_orderkey < y.l_orderkey""")
 def interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "lineitem").where("l_suppkey % 10 = 0").groupBy("l_suppkey", "l_orderkey").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"), F.count("*").alias("n")).where("n > 1")
+    return _overlapping(table(spark, sf, "lineitem").where("l_suppkey % 10 = 0"))
+
+
+@query("""WITH s AS (SELECT l_suppkey, l_orderkey, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1)
+  SELECT x.l_suppkey, x.l_orderkey AS one, y.l_orderkey AS two FROM s x JOIN s y ON x.l_suppkey = y.l_suppkey AND x.a < y.b AND y.a < x.b AND x.l_orderkey < y.l_orderkey""")
+def interval_overlap_all(spark: SparkSession, sf: str) -> DataFrame:
+    return _overlapping(table(spark, sf, "lineitem"))
+
+
+def _overlapping(lines: DataFrame) -> DataFrame:
+    s = lines.groupBy("l_suppkey", "l_orderkey").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"), F.count("*").alias("n")).where("n > 1")
     return asof.overlaps(s, s, "a", "b", ["l_suppkey"]).where("x.l_orderkey < y.l_orderkey").select("x.l_suppkey", F.col("x.l_orderkey").alias("one"), F.col("y.l_orderkey").alias("two"))
