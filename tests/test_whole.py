@@ -1,6 +1,6 @@
 """Queries on whole tables."""
 
-from touchline.plans import league
+from touchline.plans import analysis, league
 from touchline.sources.tables import table
 
 SF = "/root/testdata/sf0.001"
@@ -17,3 +17,10 @@ def test_overlaps_of_all_suppliers(spark):
     want = {(s, o, p) for s, x in by.items() for o, a, b in x for p, c, d in x if o < p and a < d and c < b}
     assert {tuple(r) for r in league.interval_overlap_all(spark, SF).collect()} == want
     assert any(s % 10 for s, _, _ in want)
+
+
+def test_searches_for_every_hundredth_row(spark):
+    ids = {r[0] for r in table(spark, SF, "embeddings").where("vec_id % 100 = 0").select("vec_id").collect()}
+    got = [(r["q"], r["place"]) for r in analysis.cosine_topk_all(spark, SF).collect()]
+    assert len(ids) > 1 and sorted(got) == [(q, p) for q in sorted(ids) for p in range(1, 51)]
+    assert {r["q"] for r in analysis.recall_mrr_all(spark, SF).collect()} == ids

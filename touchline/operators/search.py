@@ -43,6 +43,14 @@ def nearest(vectors: DataFrame, query: DataFrame, id_col: str, vector_col: str,
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("id"))).cast("bigint"))
 
 
+def nearest_each(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, depth: int) -> DataFrame:
+    """For each row of queries the rows nearest by exact cosine, ties to the higher id: q, place, id, score. The limit on the place is
+    taken per partition first, and queries are not assumed to fit a broadcast."""
+    q = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("_q"))
+    scored = vectors.crossJoin(q).select("q", F.col(id_col).alias("id"), F.round(cosine(F.col(vector_col), F.col("_q")), 6).alias("score"))
+    return scored.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("id")))).where(F.col("place") <= depth).withColumn("place", F.col("place").cast("bigint"))
+
+
 def fuse(legs: list[DataFrame], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of legs (place, id): sum of 1 / (k + place); order by score, best place, id."""
     both = None

@@ -141,6 +141,13 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _cosine(spark, sf)
 
 
+@query("""SELECT q.vec_id AS q, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id DESC) AS place
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q QUALIFY place <= 50""")
+def cosine_topk_all(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return search.nearest_each(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 50)
+
+
 @query(f"WITH f AS ({FULLTEXT}), v AS ({COS}) SELECT id, round(sum(1.0 / (60 + place)), 9) AS score, min(place) AS best FROM (SELECT place, id FROM f UNION ALL SELECT place, id FROM v) GROUP BY 1")
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
     return search.fuse([_full_text(spark, sf), _cosine(spark, sf)]).select("id", F.round("score", 9).alias("score"), "best")
@@ -258,8 +265,21 @@ def kappa(spark: SparkSession, sf: str) -> DataFrame:
   SELECT q, count(*) AS n_relevant, count(*) FILTER (place <= 20)::DOUBLE / count(*) AS recall, 1.0::DOUBLE / min(place) AS reciprocal_rank FROM rel JOIN r USING (q, item) GROUP BY 1""")
 def recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("label").alias("ql"))
-    pairs = e.crossJoin(F.broadcast(q)).where("vec_id <> q")  # ten query rows
+    return _recall(e, e.where("vec_id < 10"))
+
+
+@query("""WITH r AS (SELECT q.vec_id AS q, e.vec_id AS item, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) DESC, e.vec_id DESC) AS place
+    FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE e.vec_id <> q.vec_id),
+  rel AS (SELECT q.vec_id AS q, e.vec_id AS item FROM embeddings e JOIN embeddings q ON q.label = e.label AND q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id)
+  SELECT q, count(*) AS n_relevant, count(*) FILTER (place <= 20)::DOUBLE / count(*) AS recall, 1.0::DOUBLE / min(place) AS reciprocal_rank FROM rel JOIN r USING (q, item) GROUP BY 1""")
+def recall_mrr_all(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    return _recall(e, e.where("vec_id % 100 = 0"))
+
+
+def _recall(e: DataFrame, queries: DataFrame) -> DataFrame:
+    q = queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("label").alias("ql"))
+    pairs = e.crossJoin(q).where("vec_id <> q")
     w = Window.partitionBy("q").orderBy(F.desc(F.round(search.cosine(F.col("embedding"), F.col("qe")), 6)), F.desc("vec_id"))
     ranked = pairs.select("q", F.col("vec_id").alias("item"), F.row_number().over(w).alias("place"))
     return evaluation.recall_and_rank(ranked, pairs.where("label = ql").select("q", F.col("vec_id").alias("item")), "q", "item", "place", 20)
