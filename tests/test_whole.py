@@ -24,3 +24,18 @@ def test_searches_for_every_hundredth_row(spark):
     got = [(r["q"], r["place"]) for r in analysis.cosine_topk_all(spark, SF).collect()]
     assert len(ids) > 1 and sorted(got) == [(q, p) for q in sorted(ids) for p in range(1, 51)]
     assert {r["q"] for r in analysis.recall_mrr_all(spark, SF).collect()} == ids
+
+
+def test_swings_of_every_nation(spark):
+    nation = {r[0]: r[1] for r in table(spark, SF, "customer").select("c_custkey", "c_nationkey").collect()}
+    rows = table(spark, SF, "lineitem").join(table(spark, SF, "orders").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").select("o_custkey", "l_partkey", "l_quantity").collect()
+    have = {}
+    for c, p, n in rows:
+        have.setdefault(c, {})[p] = have.get(c, {}).get(p, 0) + int(n)
+    want = set()
+    for n in set(nation.values()):
+        own = sorted(c for c in nation if nation[c] == n)
+        for a, b in zip(own, own[1:], strict=False):
+            x, y = have.get(a, {}), have.get(b, {})
+            want |= {(a, b, p, x.get(p, 0) - y.get(p, 0)) for p in {*x, *y} if x.get(p, 0) != y.get(p, 0)}
+    assert {tuple(r) for r in analysis.pair_swings_all(spark, SF).collect()} == want

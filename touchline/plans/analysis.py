@@ -243,6 +243,19 @@ def pair_swings(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, "l_partkey", "full_outer").select("one", "l_partkey", swing.cast("bigint").alias("swing")).where("swing <> 0")
 
 
+@query("""WITH c AS (SELECT c_custkey AS one, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS two FROM customer),
+  h AS (SELECT o_custkey, l_partkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
+  s AS (SELECT one, two, l_partkey, q FROM c JOIN h ON o_custkey = one WHERE two IS NOT NULL UNION ALL SELECT one, two, l_partkey, -q FROM c JOIN h ON o_custkey = two)
+  SELECT one, two, l_partkey, CAST(sum(q) AS BIGINT) AS swing FROM s GROUP BY 1, 2, 3 HAVING sum(q) <> 0""")
+def pair_swings_all(spark: SparkSession, sf: str) -> DataFrame:
+    h = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.sum("l_quantity").cast("bigint").alias("q"))
+    two = F.lead("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    pairs = table(spark, sf, "customer").select(F.col("c_custkey").alias("one"), two.alias("two")).where("two is not null")
+    sides = F.explode(F.array(F.struct(F.col("one").alias("o_custkey"), F.lit(1).alias("sign")), F.struct(F.col("two").alias("o_custkey"), F.lit(-1).alias("sign"))))
+    each = pairs.withColumn("side", sides).select("one", "two", "side.*").join(h, "o_custkey")
+    return each.groupBy("one", "two", "l_partkey").agg(F.sum(F.col("q") * F.col("sign")).cast("bigint").alias("swing")).where("swing <> 0")
+
+
 # evaluation
 
 
