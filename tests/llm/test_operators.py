@@ -1,14 +1,15 @@
 """Every operator against its plain version, with nulls, empty and very long texts, repeated rows, empty tables and clashing columns."""
 
+import os
 import random
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from brute import edit_substring, near_components, repeats, secrets, unigram
+from brute import LOW, edit_substring, near_components, repeats, secrets, unigram
 
-from touchline.llm import components, decontaminate, exact_dedup, langid, lm_scoring, near_dedup, secrets as secret_scan, sentencepiece_codec, suffix_dedup, suffix_sort, token_counts, toxicity
+from touchline.llm import components, decontaminate, exact_dedup, langid, lm_counts, lm_scoring, near_dedup, secrets as secret_scan, sentencepiece_codec, suffix_dedup, suffix_sort, token_counts, toxicity
 
 SYLLABLES = "an the ing of er ion re st nd ou éa ñe ß ti".split()
 
@@ -150,20 +151,33 @@ def test_rare_words_by_shuffle(docs, monkeypatch):
     assert all(r["base_score"] == pytest.approx(want[i][4], rel=1e-9) and r["n_known"] == want[i][2] for i, r in got.items())
 
 
-@pytest.mark.parametrize(("sample", "least"), [(0, -2.0), (600, -0.5)])
-def test_the_model_learns_from_all_texts(spark, monkeypatch, sample, least):
-    """Texts over FIT_BYTES: they are in the sample to start from, and without one the model isn't the untrained one (128 classes: -2.1 a subword)."""
-    monkeypatch.setattr(lm_scoring, "FIT_TEXTS", sample)
+def test_the_model_learns_from_all_texts(spark, monkeypatch):
+    """Texts over FIT_BYTES are in the sample to start from; and without one, tasks learn: the more they learn from, the better the scores."""
     text = "one two three four five six seven eight " * 3000
     docs = spark.createDataFrame([(k, text) for k in range(8)], "doc_id bigint, text string")
     assert len(text) > lm_scoring.FIT_BYTES
-    assert all(r["score"] / r["n_tokens"] > least for r in lm_scoring.score(docs).collect())
+    each = lambda share: min(r["score"] / r["n_tokens"] for r in lm_scoring.score(docs, learn_share=share).collect())
+    assert each(lm_scoring.LEARN_SHARE) > -0.5
+    monkeypatch.setattr(lm_scoring, "FIT_TEXTS", 0)
+    none, some = each(0.0), each(1.0)
+    assert some > none + 0.1
+
+
+def test_what_tasks_learn_from_grows_with_the_texts():
+    """A share of all stretches, those of long texts and the last ones too; only the ends of texts are learned as ends."""
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (0, 1, 99, 100, 101, 40_000)]
+    few, _ = lm_scoring._stretches(pa.array(texts), np.random.default_rng(1))
+    many, last = lm_scoring._stretches(pa.array(texts * 20), np.random.default_rng(1))
+    assert 10 < len(few) < 60 and len(many) == pytest.approx(20 * 405 * lm_scoring.LEARN_SHARE, rel=0.2)
+    words = [t.split() for t in many.to_pylist()]
+    assert max(map(len, words)) == 100 and max(int(w[0][1:]) for w in words if w) > 30_000
+    assert all(x == (not w or w[-1] in {"w0", "w98", "w99", "w100", "w39999"} and len(w) != 0) for w, x in zip(words, last.tolist(), strict=True) if w != [f"w{k}" for k in range(100)])
 
 
 def test_the_fitting_sample_is_bounded_without_ids(spark, monkeypatch):
     sizes, fit = [], lm_scoring.Attention.fit
     monkeypatch.setattr(lm_scoring, "FIT_TEXTS", 20)
-    monkeypatch.setattr(lm_scoring.Attention, "fit", lambda self, rows, *a, **k: (sizes.append(len(rows)), fit(self, rows, *a, steps=2)))
+    monkeypatch.setattr(lm_scoring.Attention, "fit", lambda self, rows, cls, first, scored, steps: (sizes.append(len(rows)), fit(self, rows, cls, first, scored, 2)))
     for own in (None, 20):  # hashes of a repeated id alone under the threshold, or none
         docs = spark.createDataFrame([(own, f"word{k}") for k in range(400)], "doc_id bigint, text string")
         lm_scoring.score(docs).collect()
@@ -173,13 +187,17 @@ def test_the_fitting_sample_is_bounded_without_ids(spark, monkeypatch):
 def test_attention_is_causal_and_normalised():
     net = lm_scoring.Attention()
     rows = np.random.default_rng(0).integers(0, 1000, (2, lm_scoring.WINDOW))
-    z, _ = net.forward(rows)
+    z, _ = net.hidden(rows)
     rows[:, 20:] = 5
-    y, _ = net.forward(rows)
+    y, _ = net.hidden(rows)
+    assert all(np.isclose(np.exp(sum_of), 1, atol=1e-5) for layer, n in (("first", lm_scoring.FIRST), ("inside", lm_scoring.INSIDE)) for sum_of in [np.logaddexp.reduce(net.log_share(np.repeat(z[:1], n, 0), layer, np.arange(n)))])
     z, y = (x.reshape(2, lm_scoring.WINDOW, -1) for x in (z, y))
     assert np.allclose(z[:, :20], y[:, :20], atol=1e-5) and not np.allclose(z[:, 20:], y[:, 20:])
-    voc = lm_scoring.Vocabulary.of(np.random.default_rng(1).integers(0, 50, 3000).astype(float))
-    assert np.allclose(np.bincount(voc.cls, weights=10**voc.share), 1)
+    first = np.arange(3001) % 3 == 0
+    voc = lm_scoring.Vocabulary.of(np.random.default_rng(1).integers(0, 50, 3001).astype(float), first)
+    for flag in (first, ~first):
+        assert np.allclose(np.bincount(voc.cls[flag], weights=np.exp(voc.share[flag])), 1)
+    assert voc.cls[3000] == 0 and np.sum(voc.cls[first] == 0) == 1  # the end is a class of its own
 
 
 def test_gradients():
@@ -187,28 +205,112 @@ def test_gradients():
     r = np.random.default_rng(2)
     for k in net.p:
         net.p[k] = net.p[k].astype(np.float64)
-    rows, target = r.integers(0, 1000, (3, lm_scoring.WINDOW)), r.integers(0, lm_scoring.CLASSES, (3, lm_scoring.WINDOW))
-    weight = np.ones(target.shape)
-    _, g = net.step(rows, target, weight)
-    for name in ("qkv", "out", "up", "down", "cls", "pos"):
+    rows, classes = r.integers(0, 1000, (3, lm_scoring.WINDOW)), r.integers(0, lm_scoring.INSIDE, (3, lm_scoring.WINDOW))
+    is_first, scored = r.random(rows.shape) < 0.4, r.random(rows.shape) < 0.8
+    _, g = net.step(rows, classes, is_first, scored)
+    for name in ("qkv", "out", "up", "down", "first", "first_bias", "inside", "inside_bias", "pos", "emb"):
         x = net.p[name]
-        at = tuple(r.integers(0, s) for s in x.shape)
+        at = (rows[1, 3], 2) if name == "emb" else tuple(r.integers(0, s) for s in x.shape)
         e = 1e-4
         x[at] += e
-        up, _ = net.step(rows, target, weight)
+        up, _ = net.step(rows, classes, is_first, scored)
         x[at] -= 2 * e
-        down, _ = net.step(rows, target, weight)
+        down, _ = net.step(rows, classes, is_first, scored)
         x[at] += e
         assert g[name][at] == pytest.approx((up - down) / (2 * e), rel=0.05, abs=1e-5)
 
 
 def test_every_subword_is_scored_once():
-    voc = lm_scoring.Vocabulary.of(np.ones(500))
-    n = np.array([1, 31, 32, 33, 56, 57, 200])
+    voc = lm_scoring.Vocabulary.of(np.ones(500), np.arange(500) % 2 == 1)
+    n = np.array([1, 31, 32, 33, 47, 48, 49, 84, 85, 200])
     off = np.concatenate([[0], np.cumsum(n)])
-    _, target, scored, text, first = lm_scoring.windows(np.arange(off[-1]) % 500, off, voc)
+    ids = np.arange(off[-1]) % 500
+    _, at, scored, text, first = lm_scoring.windows(ids, off, voc)
     assert np.bincount(text, weights=scored.sum(1)).tolist() == n.tolist()
-    assert sorted(target[scored].tolist()) == sorted((np.arange(off[-1]) % 500).tolist())
+    assert sorted(ids[at][scored].tolist()) == sorted(ids.tolist())
+
+
+def spelled(words, end):
+    """Edges of words (subwords and count), with all counts kept."""
+    off = np.concatenate([[0], np.cumsum([len(w) for w, _ in words])])
+    return lm_counts.Edges.of(*lm_counts.edge_rows(np.array([i for w, _ in words for i in w]), off, np.array([c for _, c in words]), end), end, 0.25)
+
+
+def test_what_goes_on_inside_words_sums_to_one():
+    """After any prefix, known or new, the next subwords and the end of the word have probability one together."""
+    end = 12
+    edges = spelled([((1, 2), 5), ((1, 2, 3), 2), ((1, 4), 1), ((5,), 9), ((5, 2, 2), 1)], end)
+    model = np.full(end, 1 / end)
+    for prefix in ((1,), (1, 2), (5, 2), (7,), (7, 2), (1, 2, 3), (9, 9, 9)):
+        total = 0.0
+        for s in range(end):
+            a, b, _ = edges.parts(np.array([*prefix, s]), np.array([0, len(prefix) + 1]))
+            total += a[-1] + b[-1] * model[s]
+        total += 10 ** edges.parts(np.array(prefix), np.array([0, len(prefix)]))[2][0]
+        assert total == pytest.approx(1, abs=1e-5)
+    # no count is dropped: the share of a known way on is what discounting says
+    a, b, _ = edges.parts(np.array([1, 2]), np.array([0, 2]))
+    assert a[1] == pytest.approx((7 - 0.7) / 8 + (3 * 0.7 / 8) * 0 + (1 - (7 - 0.7 + 1 - 0.7) / 8) * edges.find(lm_counts.pair_keys(np.array([1]), np.array([2])))[0][0], rel=1e-5)
+
+
+def test_scores_by_a_plain_loop():
+    """Texts of many windows against a loop that scores one subword at a time, by plain formulas."""
+    split = lm_scoring.splitter(lm_scoring.DEFAULT_RANKS)
+    rnd = random.Random(4)
+    texts = ["", "a", prose(rnd, 10), prose(rnd, 90), prose(rnd, 30) + " Zebra zebra"]
+    train = [w for w in " ".join(texts[:4]).split()]
+    words = [(tuple(split.core.encode_ordinary(" " + w.translate(LOW))), train.count(w)) for w in sorted(set(train))]
+    edges = spelled(words, split.size)
+    counts = np.zeros(split.size + 1)
+    for w, c in words:
+        np.add.at(counts, list(w), c)
+    voc, net = lm_scoring.Vocabulary.of(counts, split.first), lm_scoring.Attention(3)
+    p = {k: x.astype(np.float64) for k, x in net.p.items()}
+    stride = lm_scoring.WINDOW - lm_scoring.OVERLAP
+    for text, got in zip(texts, lm_scoring.log_probabilities(lm_scoring.encode(pa.array(texts), split, edges), voc, net, block=3), strict=True):
+        own = [split.core.encode_ordinary(" " + w) for w in text.translate(LOW).split()]
+        flat = [i for w in own for i in w] + [split.size]
+        want, at = sum(edges.parts(np.array(w), np.array([0, len(w)]))[2][0] for w in own), 0
+        inner = {}
+        for w in own:
+            a, b, _ = edges.parts(np.array(w), np.array([0, len(w)]))
+            inner |= {at + k: (a[k], b[k]) for k in range(1, len(w))}
+            at += len(w)
+        for t, s in enumerate(flat):
+            begin = 0 if t < lm_scoring.WINDOW else ((t - lm_scoring.OVERLAP) // stride) * stride
+            before = [lm_scoring.Attention.BEGIN if j == 0 else voc.row[flat[j - 1]] for j in range(begin, t + 1)]
+            h = p["emb"][before] + p["pos"][: len(before)]
+            q, k, v = np.split(h @ p["qkv"], 3, axis=1)
+            ctx = []
+            for head in np.split(np.arange(h.shape[1]), lm_scoring.HEADS):
+                e = np.exp(k[:, head] @ q[-1, head] / np.sqrt(len(head)))
+                ctx.append((e / e.sum()) @ v[:, head])
+            h2 = h[-1] + np.concatenate(ctx) @ p["out"]
+            h3 = h2 + np.maximum(h2 @ p["up"], 0) @ p["down"]
+            layer = "inside" if t in inner else "first"
+            z = np.exp(h3 @ p[layer] + p[layer + "_bias"])
+            share = z[voc.cls[s]] / z.sum() * np.exp(voc.share[s])
+            want += np.log10(inner[t][0] + inner[t][1] * share if t in inner else share)
+        assert got == pytest.approx(want, rel=1e-4)
+
+
+def test_edges_are_counted_over_all_words(spark):
+    """Counts by Spark are those of all words at once, whatever the partitions; a bounded number of edges changes nothing of the sums' one."""
+    split = lm_scoring.splitter(lm_scoring.DEFAULT_RANKS)
+    rows = [(w.encode(), k % 7 + 1) for k, w in enumerate(sorted(set(prose(random.Random(8), 400).split())))]
+    df = spark.createDataFrame(rows, "word binary, c bigint").repartition(5)
+    got = lm_counts.count_edges(df, lambda: lambda words: split.split(lm_scoring.word_hashes(words), words), split.size).collect()
+    ids, off = split.split(lm_scoring.word_hashes([w for w, _ in rows]), [w for w, _ in rows])
+    key, parent, n = lm_counts.edge_rows(ids, off, np.array([c for _, c in rows]), split.size)
+    assert {(r["key"], r["parent"], r["n"]) for r in got} == set(zip(key.view(np.int64).tolist(), parent.view(np.int64).tolist(), n.tolist(), strict=True))
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/documents.parquet"), reason="needs the test tables")
+def test_the_model_beats_the_unigram_on_held_out_texts(spark):
+    """In total, over all held-out documents of sf0.1 and over those whose words are all known."""
+    r = lm_scoring.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out")
+    a, b, c, d = r.selectExpr("sum(score)", "sum(base_score)", "sum(if(n_known = n_tokens, score, 0))", "sum(if(n_known = n_tokens, base_score, 0))").first()
+    assert a > b and c > d
 
 
 def test_secrets(spark):
