@@ -164,14 +164,19 @@ def test_the_model_learns_from_all_texts(spark, monkeypatch):
 
 
 def test_what_tasks_learn_from_grows_with_the_texts():
-    """A share of all stretches, those of long texts and the last ones too; only the ends of texts are learned as ends."""
-    texts = [" ".join(f"w{k}" for k in range(n)) for n in (0, 1, 99, 100, 101, 40_000)]
-    few, _ = lm_scoring._stretches(pa.array(texts), np.random.default_rng(1))
-    many, last = lm_scoring._stretches(pa.array(texts * 20), np.random.default_rng(1))
-    assert 10 < len(few) < 60 and len(many) == pytest.approx(20 * 405 * lm_scoring.LEARN_SHARE, rel=0.2)
-    words = [t.split() for t in many.to_pylist()]
-    assert max(map(len, words)) == 100 and max(int(w[0][1:]) for w in words if w) > 30_000
-    assert all(x == (not w or w[-1] in {"w0", "w98", "w99", "w100", "w39999"} and len(w) != 0) for w, x in zip(words, last.tolist(), strict=True) if w != [f"w{k}" for k in range(100)])
+    """All stretches together are the texts, word by word; a share of them grows with the texts, those of long texts and the last ones too."""
+    texts = ["", "x" * 5000, " ", *(" ".join(f"w{k}" for k in range(n)) for n in (1, 99, 140, 141, 40_000))]
+    all_of, last = lm_scoring._stretches(pa.array(texts), np.random.default_rng(1), 1.0)
+    whole, own = [], ""
+    for x, end in zip(all_of.to_pylist(), last.tolist(), strict=True):
+        own += x
+        if end:
+            whole.append(own)
+            own = ""
+    assert whole == texts and max(len(x) for x in all_of.to_pylist()) <= 5000
+    many, _ = lm_scoring._stretches(pa.array(texts * 20), np.random.default_rng(1))
+    assert len(many) == pytest.approx(20 * len(all_of) * lm_scoring.LEARN_SHARE, rel=0.2)
+    assert max(int(w[1:]) for x in many.to_pylist() for w in x.split() if w[0] == "w") > 30_000
 
 
 def test_the_fitting_sample_is_bounded_without_ids(spark, monkeypatch):
