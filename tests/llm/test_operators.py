@@ -522,3 +522,35 @@ def test_empty_tables(empty):
         lambda d: decontaminate.drop_leaks(d, bench),
     ):
         assert f(empty).count() == 0
+
+
+def test_exact_duplicates_are_dropped_by_id_and_text(spark):
+    """Shared and missing ids: the decision is one of id and text together; repeated rows share it."""
+    rows = [(1, "A"), (1, "B"), (2, "a"), (None, "a"), (None, "C"), (None, None), (5, ""), (7, "B"), (7, "B")]
+    got = exact_dedup.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(2, "a"), (None, "C"), (5, ""), (7, "B"), (7, "B")], key=str)
+    other = exact_dedup.exact_groups(spark.createDataFrame([(1.5, "x"), (2.5, "X")], "doc_id double, text string")).collect()
+    assert {(r["doc_id"], r["keep_id"], r["kept"]) for r in other} == {(1.5, 2.5, False), (2.5, 2.5, True)}
+
+
+def test_the_index_has_bounded_buckets(docs, monkeypatch):
+    """More buckets than partitions change nothing."""
+    want = sorted(map(str, exact_dedup.exact_groups(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "BUCKET_ROWS", 7)
+    assert sorted(map(str, exact_dedup.exact_groups(docs).collect())) == want
+
+
+def test_leaks_are_dropped_by_text(spark):
+    """Rows without id or with a shared one are judged by their own text."""
+    item = "what is the name of the river that flows through the old town and under seven bridges"
+    rows = [(None, f"so: {item}!"), (None, "nothing"), (3, item), (3, "clean"), (4, None), (5, ""), (6, "x " * 50_000 + item)]
+    bench = spark.createDataFrame([(1, item), (2, None), (None, "nothing"), (3, "")], "item_id bigint, text string")
+    got = decontaminate.drop_leaks(spark.createDataFrame([(*r, "k") for r in rows], "doc_id bigint, text string, item_id string"), bench)
+    assert got.columns == ["doc_id", "text", "item_id"]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(None, "nothing"), (3, "clean"), (4, None), (5, "")], key=str)
+
+
+def test_many_short_texts_of_one_language():
+    """Features are made in bounded blocks."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab"] * 1000)], ["text"])
+    assert [b.num_rows for b in langid.blocks(batch)] == [256, 256, 256, 232]

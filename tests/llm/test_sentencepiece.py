@@ -1,4 +1,5 @@
 import struct
+import time
 
 import sentencepiece
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 
 from touchline.llm import sentencepiece_codec as codec
 from touchline.llm import token_counts
-from touchline.llm.pieces import DEFAULT_MODEL, fields, load, piece_scores, pretokens
+from touchline.llm.pieces import DEFAULT_MODEL, code_points, fields, load, long_path, piece_scores, pretokens
 
 TEXTS = [
     "",
@@ -75,3 +76,32 @@ def test_ties_have_the_best_total(pieces):
     ids, _ = codec.encode(pa.array(["x" * 300]), pieces)
     total = lambda x: sum(lib.get_score(i) for i in x)
     assert total(ids.tolist()) == pytest.approx(total(lib.nbest_encode_as_ids("x" * 300, 2)[0]))
+
+
+def test_runs_of_one_letter(pieces):
+    """A pre-token of a megabyte takes seconds, and very long ones are cut as shorter ones are."""
+    p = pieces
+    for text in ("x" * 700, "ab" * 400, "na" * 300 + "\u4e00" * 300, "é" * 600):
+        points = code_points(" " + text)
+        for a, b in zip(long_path(points, p), codec._viterbi(points[None], p), strict=True):
+            assert np.array_equal(a, b[0])
+    column, began = pa.array(["x" * (1 << 20), "a b"]), time.time()
+    ids, off = codec.encode(column, p)
+    words = pretokens(column, p)
+    assert token_counts.count_words(words, p)[words.which].sum() == off[-1]
+    raw, ends = codec.decode(ids, off, p)
+    assert raw[: ends[1]].tobytes() == b"x" * (1 << 20) and time.time() - began < 40
+
+
+def test_ids_that_are_not_there(pieces):
+    p = pieces
+    for wrong in (-1, len(p.text)):
+        with pytest.raises(IndexError):
+            codec.decode(np.array([wrong]), np.array([0, 1]), p)
+
+
+def test_null_ids_in_arrays(spark, pieces):
+    p = pieces
+    own = codec.encode(pa.array(["one two"]), p)[0].tolist()
+    got = codec.decode_documents(spark.createDataFrame([(1, [own[0], None, *own[1:]]), (2, None), (None, [])], "doc_id bigint, ids array<int>"))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {1: "one two", 2: "", None: ""}

@@ -353,6 +353,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no benchmark item, with their own columns."""
-    gone = leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__leaked_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__leaked_id"], "left_anti")
+    """The rows of docs that hold no benchmark item, with their own columns.
+
+    Each text is judged by itself, whatever its id: a row without id that holds an item goes, and of rows that share an id those
+    that hold one go. Null and empty texts stay; without items, everything stays; an empty table gives an empty table.
+    """
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    gone = leaks(docs.select(digest.alias("__leaked"), F.col(text_col).alias("text")), benchmark, "__leaked", "text").select("__leaked").distinct()
+    keyed = docs.withColumn("__digest", digest)
+    return keyed.join(gone, keyed["__digest"] == gone["__leaked"], "left_anti").drop("__digest")

@@ -5,7 +5,7 @@ batch are merged before anything is shuffled (so a text that a third of all rows
 row for each batch), and the partial rows are dealt to buckets by digest. A bucket feeds its rows through a
 :class:`CuckooIndex`: a miss of the filter inserts, a hit is verified against the bucket's stored content
 keys (whole digest and byte length), a row with a larger id deletes the live entry and takes its place, and
-overflow resizes the filter from the stored keys.
+overflow resizes the filter from the stored keys. There are so many buckets that the index of one has about BUCKET_ROWS keys at most.
 """
 
 from __future__ import annotations
@@ -17,12 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import materialize
 from .textkit import LOWER, U64, mix, slices, text_bytes
 
 #: Slots of a filter bucket, bits of a fingerprint, and moves before the filter counts as full.
 SLOTS, FINGERPRINT_BITS, MAX_KICKS = 4, 16, 200
+#: Rows of the table to a bucket of the index; distinct digests spread evenly, so its memory is bounded whatever the table's size.
+BUCKET_ROWS = 250_000
 
 
 class CuckooFilter:
@@ -197,20 +200,27 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal when identical after lower-casing A-Z; of equal texts the row with the largest id stays. A
     null text counts as empty. A null id is below every other id; where all ids of a group are null, its
     rows are all kept. Repeated rows (same id, same text) each count in group_size and share the decision. Extra
-    columns are ignored; an empty table gives no rows.
+    columns are ignored; an empty table gives no rows. Ids may be of any type that has an order.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = slim.schema["id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    kind, arrow = slim.schema["id"].dataType.simpleString(), to_arrow_type(slim.schema["id"].dataType)
     digests = materialize(slim.mapInArrow(_digests(arrow), f"id {kind}, digest binary, n_bytes bigint"))
     partial = digests.mapInArrow(_premerge, f"digest binary, n_bytes bigint, id {kind}, n bigint")
-    live = partial.repartition("digest").mapInArrow(_index_bucket(arrow), f"digest binary, keep_id {kind}, group_size bigint")
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-digests.count() // BUCKET_ROWS))  # rows from the footers of the written table
+    live = partial.repartition(buckets, "digest").mapInArrow(_index_bucket(arrow), f"digest binary, keep_id {kind}, group_size bigint")
     return digests.join(live, "digest").select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their own columns; of repeated rows with one id and text, all stay."""
-    groups = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
-    return docs.join(groups, docs[id_col].eqNullSafe(groups["__kept_id"]), "left_semi")
+    """The rows of docs that stay, with their own columns: those whose id is the largest of their text's rows.
+
+    The decision is one of id and text together, so rows that share an id, or have none, are told apart by their texts. A null text counts as
+    empty; rows without id go where their text has one with an id, and stay otherwise; of repeated rows with one id and text, all
+    stay; an empty table gives an empty table.
+    """
+    groups = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id"), F.unhex("text_sha256").alias("__kept_digest")).distinct()
+    lower = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    keyed = docs.withColumn("__digest", F.unhex(F.sha2(lower, 256)))
+    return keyed.join(groups, (keyed["__digest"] == groups["__kept_digest"]) & keyed[id_col].eqNullSafe(groups["__kept_id"]), "left_semi").drop("__digest")

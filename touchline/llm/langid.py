@@ -21,6 +21,8 @@ from .textkit import U64, crc_held_out, segment_ids, slices, text_bytes
 
 #: Hash buckets, n-gram lengths in bytes, and the bound of the fitting sample: texts of all languages together.
 DIMENSIONS, NGRAMS, FIT_DOCS = 4096, (1, 2, 3), 2400
+#: Rows whose features are made at once (16 KB a row).
+BLOCK_ROWS = 256
 #: Languages of a family by ISO 639-1 code. A code that isn't listed is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "af", "sv", "da", "no", "nb", "nn", "is", "fy", "lb", "yi"),
@@ -33,6 +35,13 @@ FAMILIES = {
 FAMILY_OF = {code: name for name, codes in FAMILIES.items() for code in codes}
 
 
+def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of BLOCK_ROWS rows at most and about 1 MB of text, so that their dense features stay small."""
+    for part in slices(batch, "text", 1 << 20):
+        for k in range(0, part.num_rows, BLOCK_ROWS):
+            yield part.slice(k, BLOCK_ROWS)
+
+
 def features(column: pa.Array) -> np.ndarray:
     """A row of DIMENSIONS values for each text; zeros for a null or empty one."""
     buf, off = text_bytes(pc.utf8_lower(pc.fill_null(column, "")))
@@ -133,7 +142,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, holdout: t
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in blocks(batch):
                 keep = part.filter(pa.array(has_letter(part.column("text"))))
                 x = features(keep.column("text"))
                 yield pa.RecordBatch.from_arrays([keep.column("id").cast(pa.string()), keep.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "lang", "x"])
@@ -149,12 +158,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     und with score 0 where the text is null or has no letter, or where nothing could be learned. Whole texts of any length;
     ids may be null or repeated; extra columns are ignored. Fitting takes a bounded sample, scoring is one narrow pass.
+    The language column is one of codes: the model has a machine for each of its families and each pair inside a family (16 to 33 KB each).
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, lang_col, holdout))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", 1 << 20):
+            for part in blocks(batch):
                 if model.value.families:
                     lang, score = model.value.predict(part.column("text"))
                 else:

@@ -345,6 +345,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose document stays (one of each group), with their own columns."""
+    """The rows of docs whose document stays (one of each group, that with the smallest id), with their own columns.
+
+    Null and empty texts, and rows without id, are linked with nothing and stay; rows that share an id are one document and stay or go together;
+    an empty table gives an empty table.
+    """
     kept = near_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id")).distinct()
     return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi")

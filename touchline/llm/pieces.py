@@ -203,3 +203,44 @@ def cut_long(words: Words, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.n
 
 def utf8_size(points: np.ndarray) -> np.ndarray:
     return 1 + (points > 0x7F).astype(np.int64) + (points > 0x7FF) + (points > 0xFFFF)
+
+
+#: A pre-token of more code points is gone through by itself, see long_path.
+VERY_LONG = 512
+
+
+def long_path(points: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """The best path through one very long pre-token: at each position the piece's place in the sorted keys (-1: an unknown character) and its length, 0 where none starts.
+
+    All substrings of one length probe the keys in one vector operation; what is left for each end is a choice between the pieces found there.
+    """
+    n = len(points)
+    sums, found = prefix_sums(points), []
+    for size in range(1, min(pieces.longest, n) + 1):
+        start = np.arange(n - size + 1)
+        _, down = powers(max(64, n + 1))
+        at = pieces.probe(mix((sums[size:] - sums[: n - size + 1]) * down[start] + U64(size)))
+        hit = np.flatnonzero(at >= 0)
+        found.append(np.stack([hit + size, np.full(len(hit), size), at[hit]]))
+    ends, sizes, places = np.concatenate(found, axis=1)
+    order = np.lexsort((-sizes, ends))  # of equal sums the longer last piece wins
+    sizes, places = sizes[order].tolist(), places[order].tolist()
+    bounds = np.searchsorted(ends[order], np.arange(1, n + 2)).tolist()
+    gains = pieces.scores[np.array(places, np.int64)].tolist() if places else []
+    best, back, piece = [0.0] * (n + 1), [1] * (n + 1), [-1] * (n + 1)
+    for end in range(1, n + 1):
+        top = -np.inf
+        a, b = bounds[end - 1], bounds[end]
+        for k in range(a, b):
+            total = best[end - sizes[k]] + gains[k]
+            if total > top:
+                top, back[end], piece[end] = total, sizes[k], places[k]
+        if (a == b or sizes[b - 1] > 1) and best[end - 1] + pieces.unknown > top:
+            top, back[end], piece[end] = best[end - 1] + pieces.unknown, 1, -1
+        best[end] = top
+    taken, lengths, end = np.full(n, -1, np.int32), np.zeros(n, np.int32), n
+    while end:
+        start = end - back[end]
+        taken[start], lengths[start] = piece[end], back[end]
+        end = start
+    return taken, lengths

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import DEFAULT_MODEL, Pieces, Words, cut_long, load, normalize, point_hash, prefix_sums, pretokens
+from .pieces import DEFAULT_MODEL, VERY_LONG, Pieces, Words, cut_long, load, long_path, normalize, point_hash, prefix_sums, pretokens
 from .textkit import slices, text_bytes
 
 #: Code points of pre-tokens of one length that advance together.
@@ -63,6 +63,10 @@ def encode_words(words: Words, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     taken, lengths = np.full(len(words.points), -1, np.int32), np.zeros(len(words.points), np.int32)
     for length in np.unique(size[size > 0]).tolist():
         own = starts[size == length]
+        if length > VERY_LONG:
+            for a in own.tolist():
+                taken[a : a + length], lengths[a : a + length] = long_path(words.points[a : a + length], pieces)
+            continue
         for k in range(0, len(own), step := max(1, BLOCK // length)):
             where = own[k : k + step, None] + np.arange(length)
             taken[where], lengths[where] = _viterbi(words.points[where], pieces)
@@ -99,6 +103,8 @@ def encode(column: pa.Array, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
 
 def decode(ids: np.ndarray, off: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of rows of ids, one blank in front removed, and their offsets. Invalid ids raise IndexError."""
+    if len(ids) and (ids.min() < 0 or ids.max() >= len(pieces.text)):
+        raise IndexError(f"ids are from 0 to {len(pieces.text) - 1}")
     table = np.frombuffer(b"".join(pieces.text), np.uint8)
     sizes = np.concatenate([[0], np.cumsum([len(x) for x in pieces.text])])
     data, ends = ragged(table, sizes, ids.astype(np.int64))
@@ -140,12 +146,13 @@ def encode_documents(docs: DataFrame, model_file: str = DEFAULT_MODEL, id_col: s
 
 
 def decode_documents(encoded: DataFrame, model_file: str = DEFAULT_MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per input row: id and the decoded text; null ids give an empty text, bytes that aren't UTF-8 become U+FFFD."""
+    """One row per input row: id and the decoded text; null ids give an empty text, a null among them is left out, bytes that aren't UTF-8 become U+FFFD.
+    Ids that the vocabulary doesn't have, negative ones too, raise IndexError."""
     pieces = encoded.sparkSession.sparkContext.broadcast(load(model_file))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [x or [] for x in batch.column("ids").to_pylist()]
+            lists = [[i for i in x or () if i is not None] for x in batch.column("ids").to_pylist()]
             off = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
             data, rows = decode(np.array([i for x in lists for i in x], np.int64), off, pieces.value)
             raw, r = data.tobytes(), rows.tolist()

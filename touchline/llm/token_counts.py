@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pieces import DEFAULT_MODEL, Pieces, Words, cut_long, load, point_hash, prefix_sums, pretokens, utf8_size
+from .pieces import DEFAULT_MODEL, VERY_LONG, Pieces, Words, cut_long, load, long_path, point_hash, prefix_sums, pretokens, utf8_size
 from .textkit import segment_sum, slices
 
 #: Code points of sorted pre-tokens in a trie.
@@ -75,6 +75,11 @@ def count_words(words: Words, pieces: Pieces) -> np.ndarray:
             groups = [own[k : k + max(1, BLOCK // width)] for k in range(0, len(own), max(1, BLOCK // width))]
         for g in groups:
             w = int(size[g].max())
+            if w > VERY_LONG:  # a trie of one word is a line
+                p = words.points[starts[g[0]] : starts[g[0]] + w]
+                taken, lengths = long_path(p, pieces)
+                out[g] = np.where(taken >= 0, 1, utf8_size(p))[lengths > 0].sum()
+                continue
             where = starts[g, None] + np.arange(w)
             matrix = np.where(np.arange(w) < size[g, None], words.points[np.minimum(where, len(words.points) - 1)], 0).astype(np.uint32)
             order = np.argsort(np.ascontiguousarray(matrix.astype(">u4")).view(f"V{4 * w}").ravel(), kind="stable") if w <= LONGER else np.arange(len(g))
