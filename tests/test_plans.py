@@ -6,11 +6,11 @@ import decimal
 import duckdb
 import pytest
 
-from touchline.plans import analysis, league, squads
+from touchline.plans import alerts, analysis, facts, league, posts, reports, squads
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PAIRS = [(name, plan) for plan in (league, analysis, squads) for name in plan.ORACLE]
+PAIRS = [(name, plan) for plan in (league, analysis, squads, posts, facts, alerts, reports) for name in plan.ORACLE]
 
 
 @pytest.fixture(scope="module")
