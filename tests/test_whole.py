@@ -15,15 +15,15 @@ def test_overlaps_of_all_suppliers(spark):
         if len(days) > 1:
             by.setdefault(s, []).append((o, min(days), max(days)))
     want = {(s, o, p) for s, x in by.items() for o, a, b in x for p, c, d in x if o < p and a < d and c < b}
-    assert {tuple(r) for r in league.interval_overlap_all(spark, SF).collect()} == want
+    assert {tuple(r) for r in league.interval_overlap(spark, SF).collect()} == want
     assert any(s % 10 for s, _, _ in want)
 
 
 def test_searches_for_every_hundredth_row(spark):
     ids = {r[0] for r in table(spark, SF, "embeddings").where("vec_id % 100 = 0").select("vec_id").collect()}
-    got = [(r["q"], r["place"]) for r in analysis.cosine_topk_all(spark, SF).collect()]
+    got = [(r["q"], r["place"]) for r in analysis.cosine_topk(spark, SF).collect()]
     assert len(ids) > 1 and sorted(got) == [(q, p) for q in sorted(ids) for p in range(1, 51)]
-    assert {r["q"] for r in analysis.recall_mrr_all(spark, SF).collect()} == ids
+    assert {r["q"] for r in analysis.recall_mrr(spark, SF).collect()} == ids
 
 
 def test_swings_of_every_nation(spark):
@@ -38,4 +38,4 @@ def test_swings_of_every_nation(spark):
         for a, b in zip(own, own[1:], strict=False):
             x, y = have.get(a, {}), have.get(b, {})
             want |= {(a, b, p, x.get(p, 0) - y.get(p, 0)) for p in {*x, *y} if x.get(p, 0) != y.get(p, 0)}
-    assert {tuple(r) for r in analysis.pair_swings_all(spark, SF).collect()} == want
+    assert {tuple(r) for r in analysis.pair_swings(spark, SF).collect()} == want

@@ -8,20 +8,18 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 
 
-def inverted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, id, tf): terms of every document with their counts."""
-    return docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-
-
-def full_text(index: DataFrame, terms: list[str], depth: int, prefix_from: int = 3) -> DataFrame:
+def full_text(docs: DataFrame, id_col: str, text_col: str, terms: list[str], depth: int, prefix_from: int = 3) -> DataFrame:
     """Documents with any query term, terms of prefix_from letters or more as prefixes: most distinct terms matched, then
-    highest count, then highest id; place, id, matched, tf. No terms give nothing."""
-    hit = F.lit(False)
-    which = F.lit(None).cast("string")
-    for t in terms:
-        m = F.col("term").startswith(t) if len(t) >= prefix_from else F.col("term") == t
-        hit, which = hit | m, F.when(m & which.isNull(), F.lit(t)).otherwise(which)
-    scored = index.where(hit).withColumn("q", which).groupBy("id").agg(F.count_distinct("q").alias("matched"), F.sum("tf").alias("tf"))
+    highest count, then highest id; place, id, matched, tf. A word counts for the first term that it matches. No terms give nothing.
+
+    Each document is scored where it is read; what is shuffled are the best rows of each partition.
+    """
+    if not terms:
+        return docs.where("false").select(F.lit(0).cast("bigint").alias("place"), F.col(id_col).alias("id"), F.lit(0).cast("bigint").alias("matched"), F.lit(0).cast("bigint").alias("tf"))
+    is_hit = lambda x, t: x.startswith(t) if len(t) >= prefix_from else x == t
+    which = lambda x: F.coalesce(*[F.when(is_hit(x, t), F.lit(t)) for t in terms])
+    hits = F.filter(F.transform(tokens(F.col(text_col)), which), lambda x: x.isNotNull())
+    scored = docs.select(F.col(id_col).alias("id"), hits.alias("_hits")).where("size(_hits) > 0").select("id", F.size(F.array_distinct("_hits")).cast("bigint").alias("matched"), F.size("_hits").cast("bigint").alias("tf"))
     top = scored.orderBy(F.desc("matched"), F.desc("tf"), F.desc("id")).limit(depth)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("matched"), F.desc("tf"), F.desc("id"))).cast("bigint"))
 
@@ -35,29 +33,21 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, query: DataFrame, id_col: str, vector_col: str, depth: int) -> DataFrame:
-    """The rows nearest to the one query vector by exact cosine, ties to the higher id: place, id, score."""
-    q = F.broadcast(query.select(F.col(vector_col).alias("_q")).limit(1))  # one row
-    scored = vectors.crossJoin(q).select(F.col(id_col).alias("id"), F.round(cosine(F.col(vector_col), F.col("_q")), 6).alias("score"))
-    top = scored.orderBy(F.desc("score"), F.desc("id")).limit(depth)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("id"))).cast("bigint"))
-
-
 def nearest_each(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, depth: int) -> DataFrame:
     """For each row of queries the rows nearest by exact cosine, ties to the higher id: q, place, id, score. The limit on the place is
-    taken per partition first, and queries are not assumed to fit a broadcast."""
+    taken per partition first. Queries are a stated set, held against all rows in blocks."""
     q = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("_q"))
     scored = vectors.crossJoin(q).select("q", F.col(id_col).alias("id"), F.round(cosine(F.col(vector_col), F.col("_q")), 6).alias("score"))
     return scored.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("id")))).where(F.col("place") <= depth).withColumn("place", F.col("place").cast("bigint"))
 
 
-def fuse(legs: list[DataFrame], k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion of legs (place, id): sum of 1 / (k + place); order by score, best place, id."""
+def fuse(legs: list[DataFrame], by: list[str], k: int = 60) -> DataFrame:
+    """Reciprocal rank fusion of legs (by, place, id): sum of 1 / (k + place) for each query; order by score, best place, id."""
     both = None
     for leg in legs:
-        leg = leg.select("place", "id")
+        leg = leg.select(*by, "place", "id")
         both = leg if both is None else both.union(leg)
-    return both.groupBy("id").agg(F.sum(1 / (F.lit(k) + F.col("place"))).alias("score"), F.min("place").alias("best"))
+    return both.groupBy(*by, "id").agg(F.sum(1 / (F.lit(k) + F.col("place"))).alias("score"), F.min("place").alias("best"))
 
 
 def resolve(mentions: DataFrame, keys: DataFrame, mention: str = "mention") -> DataFrame:

@@ -120,7 +120,7 @@ FULLTEXT = f"SELECT row_number() OVER (ORDER BY matched DESC, tf DESC, id DESC)
 
 
 def _full_text(spark: SparkSession, sf: str) -> DataFrame:
-    return search.full_text(search.inverted(table(spark, sf, "documents"), "doc_id", "text"), TERMS, 50)
+    return search.full_text(table(spark, sf, "documents"), "doc_id", "text", TERMS, 50)
 
 
 @query(FULLTEXT)
@@ -128,12 +128,18 @@ def fulltext_or_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return _full_text(spark, sf)
 
 
-COS = "SELECT row_number() OVER (ORDER BY score DESC, id DESC) AS place, * FROM (SELECT e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) QUALIFY place <= 50"
+COS = """SELECT q.vec_id AS q, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id DESC) AS place
+  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q QUALIFY place <= 50"""
+
+
+def asked(e: DataFrame) -> DataFrame:
+    """The queries of a search: every row whose id is divisible by 100."""
+    return e.where("vec_id % 100 = 0")
 
 
 def _cosine(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return search.nearest(e, e.where("vec_id = 0"), "vec_id", "embedding", 50)
+    return search.nearest_each(e, asked(e), "vec_id", "embedding", 50)
 
 
 @query(COS)
@@ -141,16 +147,17 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _cosine(spark, sf)
 
 
-@query("""SELECT q.vec_id AS q, e.vec_id AS id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY score DESC, e.vec_id DESC) AS place
-  FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q QUALIFY place <= 50""")
-def cosine_topk_all(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    return search.nearest_each(e, e.where("vec_id % 100 = 0"), "vec_id", "embedding", 50)
+def each_query(spark: SparkSession, sf: str, leg: DataFrame) -> DataFrame:
+    """A short leg (its depth bounds it) for every query."""
+    return asked(table(spark, sf, "embeddings")).select(F.col("vec_id").alias("q")).crossJoin(F.broadcast(leg))
+
+
+QS = "SELECT vec_id AS q FROM embeddings WHERE vec_id % 100 = 0"
 
 
-@query(f"WITH f AS ({FULLTEXT}), v AS ({COS}) SELECT id, round(sum(1.0 / (60 + place)), 9) AS score, min(place) AS best FROM (SELECT place, id FROM f UNION ALL SELECT place, id FROM v) GROUP BY 1")
+@query(f"WITH f AS ({FULLTEXT}), v AS ({COS}) SELECT q, id, round(sum(1.0 / (60 + place)), 9) AS score, min(place) AS best FROM (SELECT q, place, id FROM f, ({QS}) UNION ALL SELECT q, place, id FROM v) GROUP BY 1, 2")
 def rrf_fuse(spark: SparkSession, sf: str) -> DataFrame:
-    return search.fuse([_full_text(spark, sf), _cosine(spark, sf)]).select("id", F.round("score", 9).alias("score"), "best")
+    return search.fuse([each_query(spark, sf, _full_text(spark, sf)), _cosine(spark, sf)], ["q"]).select("q", "id", F.round("score", 9).alias("score"), "best")
 
 
 @query("""WITH k AS (SELECT lower(c_name) AS key, c_custkey AS target, 0 AS tier FROM customer UNION ALL SELECT string_split(lower(c_name), '#')[2], c_custkey, 1 FROM customer UNION ALL SELECT right(c_name, 3), c_custkey, 2 FROM customer),
@@ -234,20 +241,11 @@ def near_misses(spark: SparkSession, sf: str) -> DataFrame:
     return li.where("l_returnflag <> 'R'").join(low, "l_orderkey").where("l_quantity = low - 1").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "low")
 
 
-@query("""WITH h AS (SELECT o_custkey, l_partkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey IN (1, 2, 4, 5, 7, 8) GROUP BY 1, 2)
-  SELECT a.o_custkey + 0 AS one, l_partkey, coalesce(a.q, 0) - coalesce(b.q, 0) AS swing FROM (SELECT * FROM h WHERE o_custkey = 1) a FULL JOIN (SELECT * FROM h WHERE o_custkey = 2) b USING (l_partkey) WHERE coalesce(a.q, 0) <> coalesce(b.q, 0)""")
-def pair_swings(spark: SparkSession, sf: str) -> DataFrame:
-    h = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.sum("l_quantity").cast("bigint").alias("q"))
-    a, b = h.where("o_custkey = 1").withColumnRenamed("q", "qa").withColumnRenamed("o_custkey", "one"), h.where("o_custkey = 2").withColumnRenamed("q", "qb").drop("o_custkey")
-    swing = F.coalesce("qa", F.lit(0)) - F.coalesce("qb", F.lit(0))
-    return a.join(b, "l_partkey", "full_outer").select("one", "l_partkey", swing.cast("bigint").alias("swing")).where("swing <> 0")
-
-
 @query("""WITH c AS (SELECT c_custkey AS one, lead(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS two FROM customer),
   h AS (SELECT o_custkey, l_partkey, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2),
   s AS (SELECT one, two, l_partkey, q FROM c JOIN h ON o_custkey = one WHERE two IS NOT NULL UNION ALL SELECT one, two, l_partkey, -q FROM c JOIN h ON o_custkey = two)
   SELECT one, two, l_partkey, CAST(sum(q) AS BIGINT) AS swing FROM s GROUP BY 1, 2, 3 HAVING sum(q) <> 0""")
-def pair_swings_all(spark: SparkSession, sf: str) -> DataFrame:
+def pair_swings(spark: SparkSession, sf: str) -> DataFrame:
     h = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.sum("l_quantity").cast("bigint").alias("q"))
     two = F.lead("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
     pairs = table(spark, sf, "customer").select(F.col("c_custkey").alias("one"), two.alias("two")).where("two is not null")
@@ -272,30 +270,25 @@ def kappa(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.cohen_kappa(table(spark, sf, "labels"), "quality", "toxic")
 
 
-@query("""WITH r AS (SELECT q.vec_id AS q, e.vec_id AS item, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) DESC, e.vec_id DESC) AS place
-    FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id < 10) q WHERE e.vec_id <> q.vec_id),
-  rel AS (SELECT q.vec_id AS q, e.vec_id AS item FROM embeddings e JOIN embeddings q ON q.label = e.label AND q.vec_id < 10 AND e.vec_id <> q.vec_id)
-  SELECT q, count(*) AS n_relevant, count(*) FILTER (place <= 20)::DOUBLE / count(*) AS recall, 1.0::DOUBLE / min(place) AS reciprocal_rank FROM rel JOIN r USING (q, item) GROUP BY 1""")
-def recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings")
-    return _recall(e, e.where("vec_id < 10"))
-
-
 @query("""WITH r AS (SELECT q.vec_id AS q, e.vec_id AS item, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) DESC, e.vec_id DESC) AS place
     FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q WHERE e.vec_id <> q.vec_id),
   rel AS (SELECT q.vec_id AS q, e.vec_id AS item FROM embeddings e JOIN embeddings q ON q.label = e.label AND q.vec_id % 100 = 0 AND e.vec_id <> q.vec_id)
   SELECT q, count(*) AS n_relevant, count(*) FILTER (place <= 20)::DOUBLE / count(*) AS recall, 1.0::DOUBLE / min(place) AS reciprocal_rank FROM rel JOIN r USING (q, item) GROUP BY 1""")
-def recall_mrr_all(spark: SparkSession, sf: str) -> DataFrame:
+def recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return _recall(e, e.where("vec_id % 100 = 0"))
+    return _recall(e, asked(e))
 
 
 def _recall(e: DataFrame, queries: DataFrame) -> DataFrame:
+    """One pass over the pairs: of each query the score of its best relevant row, and the twenty best rows; the first one's place is a count of better rows."""
     q = queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("label").alias("ql"))
-    pairs = e.crossJoin(q).where("vec_id <> q")
-    w = Window.partitionBy("q").orderBy(F.desc(F.round(search.cosine(F.col("embedding"), F.col("qe")), 6)), F.desc("vec_id"))
-    ranked = pairs.select("q", F.col("vec_id").alias("item"), F.row_number().over(w).alias("place"))
-    return evaluation.recall_and_rank(ranked, pairs.where("label = ql").select("q", F.col("vec_id").alias("item")), "q", "item", "place", 20)
+    score = F.round(search.cosine(F.col("embedding"), F.col("qe")), 6)
+    pairs = e.crossJoin(q).where("vec_id <> q").select("q", F.struct(score.alias("score"), F.col("vec_id").alias("item")).alias("at"), (F.col("label") == F.col("ql")).alias("relevant"))
+    total = pairs.groupBy("q").agg(F.count_if("relevant").alias("n_relevant"), F.max(F.when(F.col("relevant"), F.col("at"))).alias("best")).where("n_relevant > 0")
+    top = pairs.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("at")))).where("place <= 20")
+    hits = top.groupBy("q").agg(F.count_if("relevant").alias("hits"))
+    first = pairs.join(F.broadcast(total.select("q", "best")), "q").groupBy("q").agg((F.count_if(F.col("at") > F.col("best")) + 1).alias("first"))
+    return total.join(hits, "q").join(first, "q").select("q", "n_relevant", (F.col("hits") / F.col("n_relevant")).alias("recall"), (1 / F.col("first")).alias("reciprocal_rank"))
 
 
 @query("""WITH a AS (SELECT l_suppkey, l_returnflag, l_linestatus, count(*) AS na FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY ALL), b AS (SELECT l_suppkey, l_returnflag, l_linestatus, count(*) AS nb FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY ALL)

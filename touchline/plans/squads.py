@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import search, squads
 from ..sources.tables import table
-from .analysis import CLAIM, COS, FULLTEXT, _claims
+from .analysis import CLAIM, COS, FULLTEXT, _claims, QS
 
 QUERIES, ORACLE = {}, {}
 
@@ -233,26 +233,29 @@ def model_select(spark: SparkSession, sf: str) -> DataFrame:
     return s.groupBy("s_nationkey").agg(F.min_by(F.struct("l_suppkey", "quality", "cost", "passed"), order).alias("r")).select("s_nationkey", "r.*")
 
 
-@query(f"WITH f AS ({FULLTEXT}), v AS ({COS}) SELECT coalesce(f.id, v.id) AS id, f.place AS text_place, v.place AS vector_place FROM (SELECT * FROM f WHERE place <= 20) f FULL JOIN (SELECT * FROM v WHERE place <= 20) v ON f.id = v.id")
+@query(f"""WITH f AS (SELECT q, id, place FROM ({FULLTEXT}), ({QS}) WHERE place <= 20), v AS (SELECT q, id, place FROM ({COS}) WHERE place <= 20)
+  SELECT coalesce(f.q, v.q) AS q, coalesce(f.id, v.id) AS id, f.place AS text_place, v.place AS vector_place FROM f FULL JOIN v ON f.q = v.q AND f.id = v.id""")
 def pooled_union(spark: SparkSession, sf: str) -> DataFrame:
-    """The pool to be judged: the first twenty of each ranking, each row once, with its places."""
-    from .analysis import _cosine, _full_text
+    """The pool of each query to be judged: the first twenty of each ranking, each row once, with its places."""
+    from .analysis import _cosine, _full_text, each_query
 
-    f, v = _full_text(spark, sf).where("place <= 20").select("id", F.col("place").alias("text_place")), _cosine(spark, sf).where("place <= 20").select("id", F.col("place").alias("vector_place"))
-    return f.join(v, "id", "full_outer").select("id", "text_place", "vector_place")
+    f = each_query(spark, sf, _full_text(spark, sf).where("place <= 20")).select("q", "id", F.col("place").alias("text_place"))
+    v = _cosine(spark, sf).where("place <= 20").select("q", "id", F.col("place").alias("vector_place"))
+    return f.join(v, ["q", "id"], "full_outer").select("q", "id", "text_place", "vector_place")
 
 
-@query(f"""WITH r AS (SELECT id, row_number() OVER (ORDER BY place) AS place FROM ({COS}) c WHERE id <> 0 AND place <= 40), q AS (SELECT label FROM embeddings WHERE vec_id = 0)
-  SELECT count(*) AS shown, count(*) FILTER (e.label = q.label) AS relevant, (SELECT count(*) FROM embeddings e, q WHERE e.label = q.label AND e.vec_id <> 0) AS total FROM r JOIN embeddings e ON id = vec_id, q WHERE place <= 10""")
+@query(f"""WITH r AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY place) AS place FROM ({COS}) c WHERE id <> q AND place <= 40), w AS (SELECT vec_id AS q, label FROM embeddings WHERE vec_id % 100 = 0),
+  t AS (SELECT w.q, count(*) AS total FROM w JOIN embeddings e ON e.label = w.label AND e.vec_id <> w.q GROUP BY 1)
+  SELECT r.q, count(*) AS shown, count(*) FILTER (e.label = w.label) AS relevant, min(t.total) AS total FROM r JOIN embeddings e ON id = vec_id JOIN w ON w.q = r.q JOIN t ON t.q = r.q WHERE place <= 10 GROUP BY r.q""")
 def judge_cut(spark: SparkSession, sf: str) -> DataFrame:
-    """What a judge sees of a ranking: the query's own row is left out, the rest ranked anew, ten are shown."""
-    from .analysis import _cosine
+    """What a judge sees of each query's ranking: the query's own row is left out, the rest ranked anew, ten are shown."""
+    from .analysis import _cosine, asked
 
     e = table(spark, sf, "embeddings").select("vec_id", "label")
-    q = F.broadcast(e.where("vec_id = 0").select(F.col("label").alias("wanted")))  # one row
-    near = _cosine(spark, sf).where("place <= 40 and id <> 0").withColumn("seen", F.row_number().over(Window.orderBy("place"))).where("seen <= 10")  # forty rows at most
-    shown = near.join(e, F.col("id") == F.col("vec_id")).join(q).agg(F.count("*").alias("shown"), F.count_if(F.col("label") == F.col("wanted")).alias("relevant"))
-    return shown.crossJoin(e.where("vec_id <> 0").join(q, F.col("label") == F.col("wanted")).agg(F.count("*").alias("total")))  # one row each
+    w = asked(e).select(F.col("vec_id").alias("q"), F.col("label").alias("wanted"))
+    of_label = e.groupBy(F.col("label").alias("wanted")).agg((F.count("*") - 1).alias("total"))
+    near = _cosine(spark, sf).where("place <= 40 and id <> q").withColumn("seen", F.row_number().over(Window.partitionBy("q").orderBy("place"))).where("seen <= 10")
+    return near.join(e, F.col("id") == F.col("vec_id")).join(w, "q").join(of_label, "wanted").groupBy("q").agg(F.count("*").alias("shown"), F.count_if(F.col("label") == F.col("wanted")).alias("relevant"), F.min("total").alias("total"))
 
 
 # search and pages
@@ -261,14 +264,16 @@ FILTERED = FULLTEXT.replace("FROM documents", "FROM documents WHERE n_chars >= 4
 FILTERED_COS = COS.replace("FROM embeddings e,", "FROM (SELECT * FROM embeddings WHERE label <> 0) e,")
 
 
-@query(f"WITH f AS ({FILTERED}), v AS ({FILTERED_COS}) SELECT id, round(sum(1.0 / (60 + place)), 9) AS score, min(place) AS best FROM (SELECT place, id FROM f UNION ALL SELECT place, id FROM v) GROUP BY 1 ORDER BY score DESC, best, id DESC LIMIT 20")
+@query(f"""WITH f AS ({FILTERED}), v AS ({FILTERED_COS}), s AS (SELECT q, id, round(sum(1.0 / (60 + place)), 9) AS score, min(place) AS best FROM (SELECT q, place, id FROM f, ({QS}) UNION ALL SELECT q, place, id FROM v) GROUP BY 1, 2)
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, best, id DESC) <= 20""")
 def hybrid_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    """Both legs filtered inside, to depth 50, fused; the first twenty."""
-    from .analysis import TERMS
+    """Both legs filtered inside, to depth 50, fused; the first twenty of each query."""
+    from .analysis import TERMS, asked, each_query
 
     docs, e = table(spark, sf, "documents").where("n_chars >= 400"), table(spark, sf, "embeddings")
-    legs = [search.full_text(search.inverted(docs, "doc_id", "text"), TERMS, 50), search.nearest(e.where("label <> 0"), e.where("vec_id = 0"), "vec_id", "embedding", 50)]
-    return search.fuse(legs).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "best", F.desc("id")).limit(20)
+    legs = [each_query(spark, sf, search.full_text(docs, "doc_id", "text", TERMS, 50)), search.nearest_each(e.where("label <> 0"), asked(e), "vec_id", "embedding", 50)]
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "best", F.desc("id")))
+    return search.fuse(legs, ["q"]).withColumn("score", F.round("score", 9)).withColumn("n", place).where("n <= 20").drop("n")
 
 
 @query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, CAST(len(regexp_extract_all(html, '<a ')) AS BIGINT) AS links, md5(trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))) AS text_md5 FROM pages""")

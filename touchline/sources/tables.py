@@ -1,4 +1,4 @@
-"""Readers of the driver's tables and of line-delimited JSON."""
+"""Readers of the driver's tables and of JSON, and the ways in which tables are written."""
 
 from __future__ import annotations
 
@@ -25,6 +25,38 @@ def snapshot(spark: SparkSession, path: str, field: str, schema: str) -> DataFra
     return spark.read.schema(f"{field} array<struct<{schema}>>").option("multiLine", True).json(path).select(F.inline(field))
 
 
+def split_records(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of two kinds in one file: those that have a key, and the others without its column."""
+    return df.where(F.col(key).isNotNull()), df.where(F.col(key).isNull()).drop(key)
+
+
+def lookup(spark: SparkSession, path: str) -> DataFrame:
+    """A TOML file of name = value (or name = [values]) lines, a row (name, value) each. Such files are written by hand, so the driver reads them."""
+    import tomllib
+
+    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+    rows = [(k, str(v)) for k, vs in tomllib.loads(text).items() for v in (vs if isinstance(vs, list) else [vs])]
+    return spark.createDataFrame(rows, "name string, value string")
+
+
+def append_log(df: DataFrame, path: str) -> None:
+    """Rows are added to a log; what is there stays."""
+    df.write.mode("append").parquet(path)
+
+
+def write_new(df: DataFrame, path: str) -> None:
+    """A result that must not be there yet; the writer's commit makes it whole or absent."""
+    df.write.mode("errorifexists").parquet(path)
+
+
+def archived(payloads: DataFrame, keys: list[str], order: str, payload: str, schema: str) -> DataFrame:
+    """The elements of each key's latest JSON payload, a row each; a payload that doesn't parse gives none."""
+    from ..operators.latest import latest_per_key
+
+    last = latest_per_key(payloads.select(*keys, order, payload), keys, [order])
+    return last.select(*keys, F.inline(F.from_json(payload, f"array<struct<{schema}>>")))
+
+
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(league, manager, gw, points, total): orders as a league's weeks. A nation is a league, a customer a manager, a month a week, cents are points."""
     from pyspark.sql import Window
