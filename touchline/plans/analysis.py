@@ -8,18 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import evaluation, rules, search
 from ..sources.tables import table
+from .registry import Registry
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+query = Registry()
+QUERIES, ORACLE = query.queries, query.oracle
 
 
 # aggregates

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import asof, latest, merge, ranks
 from ..sources.tables import table, weekly
+from .registry import Registry
 
 WEEKLY = """weekly AS (
   SELECT *, CAST(sum(points) OVER (PARTITION BY manager ORDER BY gw) AS BIGINT) AS total FROM (
@@ -14,17 +15,8 @@ WEEKLY = """weekly AS (
            CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS points
     FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3))"""
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+query = Registry()
+QUERIES, ORACLE = query.queries, query.oracle
 
 
 @query(f"""WITH {WEEKLY} SELECT league, gw, manager, total, rank() OVER w AS place, max(total) OVER (PARTITION BY league, gw) - total AS gap,
