@@ -556,3 +556,21 @@ def test_many_short_texts_of_one_language():
     """Features are made in bounded blocks."""
     batch = pa.RecordBatch.from_arrays([pa.array(["ab"] * 1000)], ["text"])
     assert [b.num_rows for b in langid.blocks(batch)] == [256, 256, 256, 232]
+
+
+def test_leaks_with_an_edit_in_every_long_word():
+    """Items of many lengths, every word of six letters or more changed in one place: within the limit, and no anchor word is intact."""
+    rnd = random.Random(12)
+    texts = [prose(rnd, n) for n in (30, 40, 55, 80) for _ in range(6)]
+    index = decontaminate.build_index(list(range(len(texts))), texts)
+    met = looked = 0
+    for n, text in enumerate(texts):
+        words = [w if len(w) < 6 else w[: (p := rnd.randrange(len(w)))] + "z" + w[p + 1 :] for w in text.split()]
+        doc = prose(rnd, 20) + " " + " ".join(words) + " " + prose(rnd, 20)
+        most = int(decontaminate.EDIT_SHARE * len(text))
+        if edit_substring(text, doc) > most:
+            continue
+        looked += 1
+        buf, off = decontaminate.normalized(pa.array([doc]))
+        met += any(item == n and abs(begin - doc.encode().find(" ".join(words).encode())) <= 2 * most for _, item, begin in decontaminate.candidates(buf, off, index).tolist())
+    assert looked > 15 and met >= 0.9 * looked
