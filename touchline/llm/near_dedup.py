@@ -35,8 +35,8 @@ SYMBOLS, BITS, CHUNKS, CHUNK_SYMBOLS, ERRORS = 128, 16, 10, 5, 1
 LEAST_AGREE = 76
 #: Bytes of a row with a signature, to judge whether a table may be broadcast.
 ROW_BYTES = 2 * SYMBOLS + 64
-#: Rows of a bucket on either side of a cell of pairs: a task holds twice as many texts at once.
-CELL = 512
+#: Rows of a bucket on either side of a cell of pairs: a task holds twice as many texts at once. Smaller cells copy each row more often.
+CELL = 1024
 
 _rng = np.random.default_rng(97531)
 WORD_FACTORS = _rng.integers(1, 1 << 63, SHINGLE).astype(U64) * U64(2) + U64(1)
