@@ -70,6 +70,43 @@ def podium_changes(df: DataFrame, groups: list[str], week: str, member: str, val
     return joined.where(F.col("place").isNull() | F.col("place_before").isNull()).withColumn("kind", F.when(F.col("place").isNotNull(), "entered").otherwise("left"))
 
 
+def podium_events(df: DataFrame, groups: list[str], week: str, member: str, value: str, places: int = 3) -> DataFrame:
+    """What happened to the first places since the week before, where the league had one: new_leader, entered, left, swap.
+
+    other is the leader before, the n-th member out for the n-th in, or the one overtaken, if still in the league; gap is the lead over it.
+    One window a league and week orders the members; then only those of the first places of either week are gathered, at most twice places.
+    """
+    g = [*groups, week]
+    own = Window.partitionBy(*groups, member).orderBy(week)
+    former = F.lag(week).over(own) == F.col(week) - 1
+    placed = df.withColumn("place", table_order(g, value, member)).withColumn("rank_now", competition_rank(g, value))
+    for name, source in (("place_before", "place"), ("rank_before", "rank_now")):
+        placed = placed.withColumn(name, F.when(former, F.lag(source).over(own)))
+    known = df.select(*groups, (F.col(week) + 1).alias(week)).distinct()
+    either = placed.where((F.col("place") <= places) | (F.col("place_before") <= places)).join(known, g, "left_semi")
+    man = F.struct(F.col("place"), F.col("place_before"), F.col(member).alias("member"), F.col(value).alias("value"))
+    either = either.withColumn("_all", F.collect_list(man).over(Window.partitionBy(*g)))
+    inside, outside = lambda c: c <= places, lambda c: c.isNull() | (c > places)
+    fresh = lambda x: inside(x["place"]) & outside(x["place_before"])
+    me = {c: F.col(c) for c in ("place", "place_before")}
+    old_leader = F.filter("_all", lambda x: x["place_before"] == 1)
+    out = F.transform(F.array_sort(F.transform(F.filter("_all", lambda x: inside(x["place_before"]) & outside(x["place"])), lambda x: F.struct(x["place_before"], x.alias("man")))), lambda x: x["man"])
+    turn = F.size(F.filter("_all", lambda x: fresh(x) & (x["place"] < me["place"])))
+    new_leader = (me["place"] == 1) & (me["place_before"].isNull() | (me["place_before"] != 1))
+    passed = F.filter("_all", lambda x: inside(x["place"]) & inside(x["place_before"]) & inside(me["place"]) & (x["place"] > me["place"]) & (x["place_before"] < me["place_before"]) & ~((me["place"] == 1) & (x["place_before"] == 1)))
+    one = lambda kind, when, other: F.when(when, F.array(F.struct(F.lit(kind).alias("kind"), other.alias("man"))))
+    nobody = F.get(F.filter("_all", lambda x: F.lit(False)), F.lit(0))
+    events = [
+        one("new_leader", new_leader, F.get(old_leader, F.lit(0))),
+        one("entered", fresh(me), F.get(out, turn)),
+        one("left", inside(me["place_before"]) & outside(me["place"]), nobody),
+        F.transform(passed, lambda x: F.struct(F.lit("swap").alias("kind"), x.alias("man"))),
+    ]
+    events = F.flatten(F.array_compact(F.array(*events)))
+    other = F.col("_event.man.member")
+    return either.withColumn("_event", F.explode(events)).select(*g, member, F.col("_event.kind").alias("kind"), "rank_before", "rank_now", other.alias("other"), (F.col(value) - F.col("_event.man.value")).alias("gap"))
+
+
 def last_unskipped(df: DataFrame, member: str, week: str, flag: Column) -> DataFrame:
     """The latest earlier week whose row isn't skipped."""
     w = Window.partitionBy(member).orderBy(week).rowsBetween(Window.unboundedPreceding, -1)

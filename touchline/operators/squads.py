@@ -1,4 +1,4 @@
-"""Line-ups: automatic substitutions as a fold over the bench, transfers as pairs of neighbouring rows."""
+"""Line-ups: automatic substitutions as a fold over the starters, transfers as pairs of neighbouring rows."""
 
 from __future__ import annotations
 
@@ -6,16 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def counted(starters: str, bench: str, least: dict[str, int], keeper: str = "K") -> Column:
-    """The starters that count after substitutions, by names of array columns of struct<role, played, ...>.
+def counted(starters: str, bench: str, limits: dict[str, tuple[int, int]], keeper: str = "K") -> Column:
+    """The eleven after substitutions, by names of array columns of struct<role, played, ...>.
 
-    In bench order, each substitute who played takes the place of the first starter who did not, if a keeper is exchanged for a
-    keeper only and no role falls under its least number. Null arrays give null.
+    Each starter who did not play, in order, gives his place to the first substitute left who played and fits: one of his own role,
+    or, keepers apart, one whose change leaves both roles within their limits (least, most). Null starters give null, a null bench nobody.
     """
-    keeps = "".join(f" AND (y.role <> '{r}' OR b.role = '{r}' OR size(filter(acc, z -> z.role = '{r}')) > {n})" for r, n in least.items())
-    fits = f"NOT y.played AND (y.role = '{keeper}') = (b.role = '{keeper}'){keeps}"
-    place = f"array_position(transform(acc, y -> {fits}), true)"
-    return F.expr(f"aggregate({bench}, {starters}, (acc, b) -> CASE WHEN b.played THEN transform(acc, (x, i) -> CASE WHEN i + 1 = {place} THEN b ELSE x END) ELSE acc END)")
+    bound = lambda man, side, default: f"CASE {man}.role " + " ".join(f"WHEN '{r}' THEN {n[side]}" for r, n in limits.items()) + f" ELSE {default} END"
+    number = lambda man: f"size(filter(acc.xi, z -> z.role = {man}.role))"
+    change = f"c.man.role <> '{keeper}' AND b.role <> '{keeper}' AND {number('c.man')} > {bound('c.man', 0, 0)} AND {number('b')} < {bound('b', 1, 11)}"
+    first = f"array_position(transform(acc.left, b -> b.played AND (b.role = c.man.role OR ({change}))), true)"
+    swap = "struct(transform(acc.xi, (x, j) -> CASE WHEN j = c.i THEN element_at(acc.left, cast(p AS int)) ELSE x END) AS xi, filter(acc.left, (y, k) -> k + 1 <> p) AS left)"
+    step = f"CASE WHEN c.man.played THEN acc ELSE transform(array({first}), p -> CASE WHEN p > 0 THEN {swap} ELSE acc END)[0] END"
+    return F.expr(f"aggregate(transform({starters}, (s, i) -> struct(s AS man, i AS i)), struct({starters} AS xi, {bench} AS left), (acc, c) -> {step}, acc -> acc.xi)")
+
+
+def armband(starters: str, bench: str, final: str) -> Column:
+    """Points once more of the captain (armband 1) who played, else of the vice (armband 2) who did, if among those who count; else 0."""
+    worn = f"filter(concat({starters}, {bench}), x -> x.armband = %d AND x.played)"
+    return F.expr(f"aggregate(slice(concat({worn % 1}, {worn % 2}), 1, 1), 0D, (s, x) -> s + CASE WHEN array_contains({final}, x) THEN x.points ELSE 0D END)")
 
 
 def lineups(df: DataFrame, squad: list[str], position: str, starters: int, player: list[str]) -> DataFrame:

@@ -97,6 +97,21 @@ def podium_changes(spark: SparkSession, sf: str) -> DataFrame:
     return ranks.podium_changes(weekly(spark, sf), ["league"], "gw", "manager", "total").select("league", "gw", "manager", "place", "place_before", "kind")
 
 
+@query(f"""WITH {WEEKLY}, r AS (SELECT *, row_number() OVER (PARTITION BY league, gw ORDER BY total DESC, manager) AS place, rank() OVER (PARTITION BY league, gw ORDER BY total DESC) AS place_rank FROM weekly),
+  m AS (SELECT a.league, a.gw, a.manager, a.total, a.place, a.place_rank AS rank_now, b.place AS place_before, b.place_rank AS rank_before FROM r a LEFT JOIN r b ON a.league = b.league AND a.manager = b.manager AND b.gw = a.gw - 1
+    WHERE EXISTS (SELECT 1 FROM weekly w WHERE w.league = a.league AND w.gw = a.gw - 1)),
+  ins AS (SELECT *, row_number() OVER (PARTITION BY league, gw ORDER BY place) AS n FROM m WHERE place <= 3 AND coalesce(place_before, 4) > 3),
+  outs AS (SELECT *, row_number() OVER (PARTITION BY league, gw ORDER BY place_before) AS n FROM m WHERE place > 3 AND place_before <= 3),
+  e AS (SELECT a, b, 'new_leader' AS kind FROM m a LEFT JOIN m b ON a.league = b.league AND a.gw = b.gw AND b.place_before = 1 WHERE a.place = 1 AND coalesce(a.place_before, 0) <> 1
+    UNION ALL SELECT m, o, 'entered' FROM ins JOIN m USING (league, gw, manager) LEFT JOIN outs ON outs.league = ins.league AND outs.gw = ins.gw AND outs.n = ins.n LEFT JOIN m o ON o.league = outs.league AND o.gw = outs.gw AND o.manager = outs.manager
+    UNION ALL SELECT m, NULL, 'left' FROM outs JOIN m USING (league, gw, manager)
+    UNION ALL SELECT a, b, 'swap' FROM m a JOIN m b ON a.league = b.league AND a.gw = b.gw AND a.place < b.place AND b.place <= 3 AND a.place_before > b.place_before AND a.place_before <= 3 WHERE NOT (a.place = 1 AND b.place_before = 1))
+  SELECT a.league AS league, a.gw AS gw, a.manager AS manager, kind, a.rank_before AS rank_before, a.rank_now AS rank_now, b.manager AS other, a.total - b.total AS gap FROM e""")
+def podium_events(spark: SparkSession, sf: str) -> DataFrame:
+    """All four kinds of podium_changes, with the other member and the gap."""
+    return ranks.podium_events(weekly(spark, sf), ["league"], "gw", "manager", "total")
+
+
 @query("""SELECT o_orderkey, o_custkey, o_orderstatus, last_value(CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END IGNORE NULLS) OVER
   (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS week_before FROM orders""")
 def prior_unskipped(spark: SparkSession, sf: str) -> DataFrame:

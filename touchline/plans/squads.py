@@ -12,6 +12,8 @@ from .registry import Registry
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
+#: Least and most of a role in the squads of squad_whatif.
+WHATIF_LIMITS = {"K": (1, 1), "D": (1, 2), "M": (0, 2), "F": (0, 1)}
 
 
 # line-ups and transfers
@@ -45,16 +47,28 @@ def chip_effect_case(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("o_orderkey", pick(F.lit("bench"), F.lit("captain"), F.lit("squad")).alias("chip"), pick(F.col("bench"), F.col("captain"), F.col("total") - F.col("eleven")).alias("effect"))
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT l_orderkey, l_linenumber AS line, CASE WHEN l_linenumber IN (1, 5) THEN 'K' WHEN l_suppkey % 3 = 0 THEN 'D' WHEN l_suppkey % 3 = 1 THEN 'M' ELSE 'F' END AS role,
+    l_quantity > 10 AS played, l_quantity AS points, CASE l_linenumber WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS armband FROM lineitem),
+  p AS (SELECT l_orderkey, list(m ORDER BY line, role, played, points) AS squad FROM m GROUP BY 1),
+  s AS (SELECT l_orderkey, squad, 1 AS i, list_filter(squad, lambda x: x.line <= 4) AS xi, list_filter(squad, lambda x: x.line > 4) AS bench FROM p UNION ALL
+    SELECT l_orderkey, squad, i + 1, CASE WHEN pick > 0 THEN xi[:i - 1] || [bench[pick]] || xi[i + 1:] ELSE xi END, CASE WHEN pick > 0 THEN bench[:pick - 1] || bench[pick + 1:] ELSE bench END
+    FROM (SELECT *, CASE WHEN xi[i].played THEN 0 ELSE coalesce(list_position(list_transform(bench, lambda b: b.played AND (b.role = xi[i].role OR (b.role <> 'K' AND xi[i].role <> 'K'
+      AND (xi[i].role <> 'D' OR len(list_filter(xi, lambda z: z.role = 'D')) > 1)
+      AND len(list_filter(xi, lambda z: z.role = b.role)) < CASE b.role WHEN 'F' THEN 1 ELSE 2 END))), true), 0) END AS pick FROM s WHERE i <= len(xi))),
+  f AS (SELECT l_orderkey, xi, list_filter(list_filter(squad, lambda x: x.armband = 1) || list_filter(squad, lambda x: x.armband = 2), lambda x: x.played)[1] AS worn FROM s WHERE i = len(xi) + 1)
+  SELECT l_orderkey, len(xi) AS n_starters, coalesce(list_sum(list_transform(list_filter(xi, lambda x: x.played), lambda x: x.points)), 0)
+    + CASE WHEN list_contains(xi, worn) THEN worn.points ELSE 0 END AS points FROM f""")
 def squad_whatif(spark: SparkSession, sf: str) -> DataFrame:
-    """Points of each order's squad after substitutions: lines 1-4 start, line 1 and 5 are keepers, a role has at least one defender.
-    A fold in bench order has no plain SQL form; the tests hold it against a loop."""
+    """Points of each order's squad after substitutions: lines 1-4 start, lines 1 and 5 are keepers, a squad has one or two defenders,
+    up to two midfielders and up to one forward by substitution; line 2 is the captain, line 3 the vice."""
     li = table(spark, sf, "lineitem")
-    role = F.when(F.col("l_linenumber").isin(1, 5), "K").otherwise(F.element_at(F.array(F.lit("D"), F.lit("M"), F.lit("F")), (F.col("l_suppkey") % 3 + 1).cast("int")))
-    p = li.select("l_orderkey", "l_linenumber", role.alias("role"), (F.col("l_quantity") > 10).alias("played"), F.col("l_quantity").alias("points"))
-    both = squads.lineups(p, ["l_orderkey"], "l_linenumber", 4, ["role", "played", "points"])
-    final = both.withColumn("final", squads.counted("starters", "bench", {"D": 1}))
-    points = F.aggregate(F.filter("final", lambda x: x["played"]), F.lit(0.0), lambda s, x: s + x["points"])
+    line = F.col("l_linenumber")
+    role = F.when(line.isin(1, 5), "K").otherwise(F.element_at(F.array(F.lit("D"), F.lit("M"), F.lit("F")), (F.col("l_suppkey") % 3 + 1).cast("int")))
+    band = F.when(line == 2, 1).when(line == 3, 2).otherwise(0)
+    p = li.select("l_orderkey", "l_linenumber", role.alias("role"), (F.col("l_quantity") > 10).alias("played"), F.col("l_quantity").alias("points"), band.alias("armband"))
+    both = squads.lineups(p, ["l_orderkey"], "l_linenumber", 4, ["role", "played", "points", "armband"])
+    final = both.withColumn("final", squads.counted("starters", "bench", WHATIF_LIMITS))
+    points = F.aggregate(F.filter("final", lambda x: x["played"]), F.lit(0.0), lambda s, x: s + x["points"]) + squads.armband("starters", "bench", "final")
     return final.select("l_orderkey", F.size("starters").cast("bigint").alias("n_starters"), points.alias("points"))
 
 
