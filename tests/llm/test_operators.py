@@ -116,12 +116,25 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([(3, 3)], "a bigint, b bigint")) is None
 
 
-@pytest.mark.parametrize("hot", [20_000, 3])
-def test_repeats(docs, hot):
-    got = by_id(suffix_dedup.drop_repeats(docs, hot=hot))
+@pytest.mark.parametrize(("hot", "sample"), [(20_000, 64), (3, 64), (3, 1)])
+def test_repeats(docs, hot, sample):
+    got = by_id(suffix_dedup.drop_repeats(docs, hot=hot, sample=sample))
     assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == repeats([x for x in corpus() if x[1] is None or len(x[1]) < 1e6])
 
 
+def test_repeats_of_frequent_anchors(spark):
+    shared = "".join(chr(97 + k * k % 23) for k in range(160))
+    texts = [(k, f"{k:03d} " * (20 + k) + shared + f" {k * k:05d}" * (15 + k)) for k in range(60)] + [(None, shared)]
+    df = spark.createDataFrame(texts * 2, "doc_id bigint, text string").repartition(8)
+    slim = df.selectExpr("doc_id AS id", "text").where("id is not null")
+    frequent = suffix_dedup.frequent_anchors(slim, 3, 1)
+    assert 0 < len(frequent) == len(set(frequent)) <= suffix_dedup.SHARE
+    want = repeats(texts[:-1])
+    for sample in (1, 64):
+        got = by_id(suffix_dedup.drop_repeats(df, hot=3, sample=sample).where("doc_id is not null"))
+        assert {i: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for i, r in got.items()} == want
+
+
 def test_repeats_of_repeated_rows(docs):
     twice = docs.union(docs)
     assert sorted(map(tuple, suffix_dedup.drop_repeats(twice).distinct().collect())) == sorted(map(tuple, suffix_dedup.drop_repeats(docs).collect()))

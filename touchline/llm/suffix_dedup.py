@@ -7,7 +7,9 @@ Every byte that a LENGTH-byte string covers which also starts earlier (smaller i
    with one anchor make a context: some 40 windows in some 140 bytes. Contexts, as two hashes and a position, are
    dealt by anchor. Of equal contexts of an Arrow batch only the first is; the others are repeats already and are dealt by their own place.
 2. In the order of (anchor, context, id, start), all but the first of equal contexts are repeats as a whole. Of an anchor with
-   several contexts, the first of each goes to the suffix stage; an anchor with a single context is settled.
+   several contexts, the first of each goes to the suffix stage; an anchor with a single context is settled. Contexts of an anchor that a
+   sample of texts shows to be very frequent are dealt by (anchor, context): it has several in any case. The sample decides where
+   rows go, not what is found.
 3. Contexts of such anchors, with their bytes, are dealt by anchor and sorted in blocks by :mod:`suffix_sort`; suffixes whose adjacent
    common prefix reaches LENGTH are equal windows, of which all but the first are repeats. An anchor with more than HOT contexts is split into its single windows instead, which are grouped by their
    bytes' hashes with map-side minima: no task holds such an anchor.
@@ -25,13 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, small
 from .suffix_sort import common_prefix, eight_bytes, suffix_array
 from .textkit import U64, Hasher, mix, slices, text_bytes
 
 LENGTH, GRAM = 100, 32
 #: Contexts of an anchor beyond which it is split into windows, and bytes of contexts that are sorted together.
 HOT, BLOCK = 20_000, 2 << 20
+#: One text in SAMPLE tells which anchors are very frequent; each has a SHARE-th of the sampled contexts or more, so there are at most SHARE.
+SAMPLE, SHARE = 64, 4096
 #: Bits of a position in the packed value whose minimum is the anchor.
 PLACE_BITS = 28
 
@@ -88,7 +92,8 @@ def _occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (anchor, ctx, id, at): repeats of a context (kind 0), and first contexts of anchors that have several (kind 1, numbered).
+    """Of rows sorted by (anchor, ctx, id, at): repeats of a context (kind 0), and first contexts of anchors that have several (kind 1,
+    numbered; kind 2 where the anchor is known to be frequent, so that other tasks have contexts of it too).
 
     Constant state: the last row, and the first row of the anchor as long as it has one context.
     """
@@ -105,6 +110,7 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not n:
             continue
         anchor, ctx, ids, at = (batch.column(c).to_numpy() for c in ("anchor", "ctx", "id", "at"))
+        frequent = batch.column("frequent").to_numpy(zero_copy_only=False)
         new_anchor, new_ctx, twin = np.ones(n, bool), np.ones(n, bool), np.zeros(n, bool)
         new_anchor[1:] = anchor[1:] != anchor[:-1]
         new_ctx[1:] = new_anchor[1:] | (ctx[1:] != ctx[:-1])
@@ -125,7 +131,9 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group = np.cumsum(starts_anchor)
             sizes_more = np.bincount(group)[group] > 1
         multi = np.zeros(n, bool)
-        multi[leads] = sizes_more | (out_rank[leads] > 0)
+        multi[leads] = (sizes_more | (out_rank[leads] > 0)) & ~frequent[leads]
+        known = np.zeros(n, bool)
+        known[leads] = frequent[leads]
         if held is not None:
             if len(leads) and not starts_anchor[0]:  # the anchor before goes on with a second context
                 yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held], ["anchor", "id", "at", "rank", "kind"])
@@ -133,12 +141,12 @@ def _settle(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             elif len(leads):
                 held = None
         # the last anchor of the batch may get its second context later
-        if len(leads) and out_rank[leads[-1]] == 0:
+        if len(leads) and out_rank[leads[-1]] == 0 and not frequent[leads[-1]]:
             k = leads[-1]
             held = (int(anchor[k]), int(ids[k]), int(at[k]), 0, 1)
         if len(leads):
             rank = int(out_rank[leads[-1]])
-        for flag, kind in ((repeat, 0), (multi, 1)):
+        for flag, kind in ((repeat, 0), (multi, 1), (known, 2)):
             own = np.flatnonzero(flag)
             if len(own):
                 yield pa.RecordBatch.from_arrays([pa.array(anchor[own]), pa.array(ids[own]), pa.array(at[own]), pa.array(out_rank[own]), pa.array(np.full(len(own), kind))], ["anchor", "id", "at", "rank", "kind"])
@@ -278,15 +286,29 @@ def _remaining(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(off)), pa.array(np.diff(removed)), pa.array(np.diff(runs)), pa.array(digest, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(slim: DataFrame, hot: int = HOT) -> DataFrame:
+OCCURRENCE = "anchor bigint, ctx bigint, id bigint, at bigint, lead boolean"
+
+
+def frequent_anchors(slim: DataFrame, hot: int = HOT, sample: int = SAMPLE) -> list[int]:
+    """At most SHARE anchors that have hot contexts or more, and a SHARE-th of all, as far as one text in sample shows."""
+    some = slim.where(F.pmod(F.xxhash64("id", F.lit("frequent")), F.lit(sample)) == 0).mapInArrow(_occurrences, OCCURRENCE)
+    sizes = materialize(some.where("lead").select("anchor", "ctx").distinct().groupBy("anchor").count().where("count > 1"))
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    return [r[0] for r in sizes.where(F.col("count") >= max(2, hot / sample, total / SHARE)).select("anchor").collect()]
+
+
+def repeated_spans(slim: DataFrame, hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
     """(id, a, b) ranges of repeated bytes of a table (id, text), overlapping or not; ids are not null."""
-    found = slim.where("id is not null").mapInArrow(_occurrences, "anchor bigint, ctx bigint, id bigint, at bigint, lead boolean")
+    slim = slim.where("id is not null")
+    found = slim.mapInArrow(_occurrences, OCCURRENCE).withColumn("frequent", F.col("anchor").isin(frequent_anchors(slim, hot, sample)))
     schema = "anchor bigint, id bigint, at bigint, rank bigint, kind bigint"
-    settled = materialize(found.repartition(F.when(F.col("lead"), F.col("anchor")).otherwise(F.xxhash64("id", "at"))).sortWithinPartitions("anchor", "ctx", "id", "at").mapInArrow(_settle, schema))
+    place = F.when(~F.col("lead"), F.xxhash64("id", "at")).when(F.col("frequent"), F.xxhash64("anchor", "ctx")).otherwise(F.col("anchor"))
+    settled = materialize(found.repartition(place).sortWithinPartitions("anchor", "ctx", "id", "at").mapInArrow(_settle, schema))
     start, width = F.shiftright("at", 16), F.col("at").bitwiseAND(0xFFFF)
     whole = settled.where("kind = 0").select("id", start.alias("a"), (start + width + LENGTH).alias("b"))
-    several = settled.where("kind = 1")
-    hottest = several.groupBy("anchor").agg(F.max("rank").alias("top")).where(F.col("top") >= hot).select("anchor")
+    several = settled.where("kind > 0")
+    hottest = several.groupBy("anchor").agg(F.max("rank").alias("top"), F.max("kind").alias("kind")).where((F.col("top") >= hot) | (F.col("kind") == 2)).select("anchor")
+    hottest = small(materialize(hottest), 8)
     places = several.groupBy("id").agg(F.collect_list(F.struct("anchor", "at")).alias("places"))
     cut = materialize(slim.join(places, "id").select("id", "text", "places").mapInArrow(_cut, "anchor bigint, id bigint, start bigint, data binary"))
     some_hot = bool(hottest.take(1))
@@ -300,7 +322,7 @@ def repeated_spans(slim: DataFrame, hot: int = HOT) -> DataFrame:
     return whole.union(spans)
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, sample: int = SAMPLE) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are UTF-8 bytes (null: empty), taken whole; matches never cross texts. Repeated rows with one id and text are one text. Rows that share an id with
@@ -308,6 +330,6 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     columns are ignored; an empty table gives no rows. Ids must be integers.
     """
     slim = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    spans = repeated_spans(slim, hot).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = repeated_spans(slim, hot, sample).groupBy("id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     out = slim.join(spans, "id", "left").mapInArrow(_remaining, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
