@@ -5,7 +5,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from touchline.operators import squads
+from touchline.operators import ranks, squads
 from touchline.plans.squads import WHATIF_LIMITS, squad_whatif
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +82,13 @@ def test_exchanges(spark):
     df = spark.createDataFrame([(1, 1, 5.0), (1, 2, 11.0), (1, 3, 10.0), (2, 1, 4.0)], "k int, n int, v double")
     got = squads.exchanges(df, ["k"], ["n"], "v", 6).orderBy("n").select("k", "n", "gain", F.col("missed"), "won").collect()
     assert [tuple(r) for r in got] == [(1, 2, 6.0, False, True), (1, 3, -1.0, True, False)]
+
+
+def test_podium_events(spark):
+    before, now = [9, 8, 7, 6, 5], {1: 10, 2: 8, 3: 11, 4: 12, 5: 6}
+    rows = [("a", 1, k + 1, v) for k, v in enumerate(before)] + [("a", 2, k, v) for k, v in now.items()] + [("b", 2, 9, 1)]
+    df = spark.createDataFrame(rows, "league string, gw int, who int, total int")
+    got = ranks.podium_events(df, ["league"], "gw", "who", "total").select("who", "kind", "rank_before", "rank_now", "other", "gap").collect()
+    # 4 comes from behind the podium: it enters and leads, but swaps with nobody
+    want = [(4, "new_leader", 4, 1, 1, 2), (4, "entered", 4, 1, 2, 4), (2, "left", 2, 4, None, None), (3, "swap", 3, 2, 1, 1)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)

@@ -93,7 +93,7 @@ def podium_events(df: DataFrame, groups: list[str], week: str, member: str, valu
     out = F.transform(F.array_sort(F.transform(F.filter("_all", lambda x: inside(x["place_before"]) & outside(x["place"])), lambda x: F.struct(x["place_before"], x.alias("man")))), lambda x: x["man"])
     turn = F.size(F.filter("_all", lambda x: fresh(x) & (x["place"] < me["place"])))
     new_leader = (me["place"] == 1) & (me["place_before"].isNull() | (me["place_before"] != 1))
-    passed = F.filter("_all", lambda x: inside(x["place"]) & inside(x["place_before"]) & inside(me["place"]) & (x["place"] > me["place"]) & (x["place_before"] < me["place_before"]) & ~((me["place"] == 1) & (x["place_before"] == 1)))
+    passed = F.filter("_all", lambda x: inside(x["place"]) & inside(x["place_before"]) & inside(me["place"]) & inside(me["place_before"]) & (x["place"] > me["place"]) & (x["place_before"] < me["place_before"]) & ~((me["place"] == 1) & (x["place_before"] == 1)))
     one = lambda kind, when, other: F.when(when, F.array(F.struct(F.lit(kind).alias("kind"), other.alias("man"))))
     nobody = F.get(F.filter("_all", lambda x: F.lit(False)), F.lit(0))
     events = [
