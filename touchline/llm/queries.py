@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, langid, lm_scoring, near_dedup, secrets, sentencepiece_codec, suffix_dedup, token_counts, toxicity
+from . import decontaminate, exact_dedup, langid, lm_scoring, near_dedup, quality_rules, secrets, sentencepiece_codec, suffix_dedup, token_counts, toxicity
 from .shared import documents
 
 
@@ -48,7 +48,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_near_dedup, op4_toxicity, op5_lm_scoring, op6_token_counts, op7_secret_scan, op8_suffix_dedup, op9_decontamination, op10_exact_dedup)}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_quality(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_near_dedup, op4_toxicity, op5_lm_scoring, op6_token_counts, op7_secret_scan, op8_suffix_dedup, op9_decontamination, op10_exact_dedup, op11_quality_rules)}
 
 ORACLE = {
     "op10_exact_dedup": r"""
