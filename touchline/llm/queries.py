@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, decontaminate, exact_dedup, langid, lm_scoring, near_dedup, quality_rules, secrets, sentencepiece_codec, suffix_dedup, token_counts, toxicity
+from . import alignment, centroids, decontaminate, exact_dedup, langid, lm_scoring, near_dedup, quality_rules, secrets, sentencepiece_codec, suffix_dedup, token_counts, toxicity
 from .shared import documents
 
 
@@ -52,11 +52,15 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(documents(spark, sf_dir))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(documents(spark, sf_dir))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_near_dedup, op4_toxicity, op5_lm_scoring, op6_token_counts, op7_secret_scan, op8_suffix_dedup, op9_decontamination, op10_exact_dedup, op11_quality_rules, op13_centroids)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_language_id, op3_near_dedup, op4_toxicity, op5_lm_scoring, op6_token_counts, op7_secret_scan, op8_suffix_dedup, op9_decontamination, op10_exact_dedup, op11_quality_rules, op12_alignment, op13_centroids)}
 
 
 
