@@ -31,9 +31,10 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, size: int, scale
     """id and q of the vectors that are kept."""
     v = F.col("v")
     slim = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    kept = slim.where((F.size(v) == size) & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))))
+    keep = (F.size(v) == size) & F.forall(v, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
     fits = F.forall(v, lambda x: F.abs(x * scale) < LARGEST)
-    return kept.select("id", F.when(fits, F.transform(v, lambda x: F.floor(x * scale).cast("int"))).otherwise(F.raise_error(F.lit(f"a component is beyond {LARGEST // scale} by amount"))).alias("q"))
+    q = F.when(keep & fits, F.transform(v, lambda x: F.floor(x * scale).cast("int"))).when(keep, F.raise_error(F.lit(f"a component is beyond {LARGEST // scale} by amount")).cast("array<int>"))
+    return slim.select("id", q.alias("q")).where(F.col("q").isNotNull())
 
 
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
