@@ -1,8 +1,8 @@
-"""Full-text and vector search, rank fusion, and dictionary linking."""
+"""Full-text search without an index, rank fusion, and dictionary linking."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -24,23 +24,6 @@ def full_text(docs: DataFrame, id_col: str, text_col: str, terms: list[str], dep
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("matched"), F.desc("tf"), F.desc("id"))).cast("bigint"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product of float arrays, summed in double precision."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def nearest_each(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, depth: int) -> DataFrame:
-    """For each row of queries the rows nearest by exact cosine, ties to the higher id: q, place, id, score. The limit on the place is
-    taken per partition first. Queries are a stated set, held against all rows in blocks."""
-    q = queries.select(F.col(id_col).alias("q"), F.col(vector_col).alias("_q"))
-    scored = vectors.crossJoin(q).select("q", F.col(id_col).alias("id"), F.round(cosine(F.col(vector_col), F.col("_q")), 6).alias("score"))
-    return scored.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), F.desc("id")))).where(F.col("place") <= depth).withColumn("place", F.col("place").cast("bigint"))
-
-
 def fuse(legs: list[DataFrame], by: list[str], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of legs (by, place, id): sum of 1 / (k + place) for each query; order by score, best place, id."""
     both = None

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evaluation, rules, search
+from ..operators import evaluation, rules, search, vectors
 from ..sources.tables import table
 from .registry import Registry
 
@@ -131,7 +131,7 @@ def asked(e: DataFrame) -> DataFrame:
 
 def _cosine(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return search.nearest_each(e, asked(e), "vec_id", "embedding", 50)
+    return vectors.nearest_each(e, asked(e), "vec_id", "embedding", 50)
 
 
 @query(COS)
@@ -268,19 +268,7 @@ def kappa(spark: SparkSession, sf: str) -> DataFrame:
   SELECT q, count(*) AS n_relevant, count(*) FILTER (place <= 20)::DOUBLE / count(*) AS recall, 1.0::DOUBLE / min(place) AS reciprocal_rank FROM rel JOIN r USING (q, item) GROUP BY 1""")
 def recall_mrr(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings")
-    return _recall(e, asked(e))
-
-
-def _recall(e: DataFrame, queries: DataFrame) -> DataFrame:
-    """One pass over the pairs: of each query the score of its best relevant row, and the twenty best rows; the first one's place is a count of better rows."""
-    q = queries.select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"), F.col("label").alias("ql"))
-    score = F.round(search.cosine(F.col("embedding"), F.col("qe")), 6)
-    pairs = e.crossJoin(q).where("vec_id <> q").select("q", F.struct(score.alias("score"), F.col("vec_id").alias("item")).alias("at"), (F.col("label") == F.col("ql")).alias("relevant"))
-    total = pairs.groupBy("q").agg(F.count_if("relevant").alias("n_relevant"), F.max(F.when(F.col("relevant"), F.col("at"))).alias("best")).where("n_relevant > 0")
-    top = pairs.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("at")))).where("place <= 20")
-    hits = top.groupBy("q").agg(F.count_if("relevant").alias("hits"))
-    first = pairs.join(F.broadcast(total.select("q", "best")), "q").groupBy("q").agg((F.count_if(F.col("at") > F.col("best")) + 1).alias("first"))
-    return total.join(hits, "q").join(first, "q").select("q", "n_relevant", (F.col("hits") / F.col("n_relevant")).alias("recall"), (1 / F.col("first")).alias("reciprocal_rank"))
+    return vectors.recall(e, asked(e), "vec_id", "embedding", "label", 20)
 
 
 @query("""WITH a AS (SELECT l_suppkey, l_returnflag, l_linestatus, count(*) AS na FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY ALL), b AS (SELECT l_suppkey, l_returnflag, l_linestatus, count(*) AS nb FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY ALL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import search, squads
+from ..operators import search, squads, vectors
 from ..sources.tables import table
 from .analysis import CLAIM, COS, FULLTEXT, _claims, QS
 from .registry import Registry
@@ -277,7 +277,7 @@ def hybrid_filtered(spark: SparkSession, sf: str) -> DataFrame:
     from .analysis import TERMS, asked, each_query
 
     docs, e = table(spark, sf, "documents").where("n_chars >= 400"), table(spark, sf, "embeddings")
-    legs = [each_query(spark, sf, search.full_text(docs, "doc_id", "text", TERMS, 50)), search.nearest_each(e.where("label <> 0"), asked(e), "vec_id", "embedding", 50)]
+    legs = [each_query(spark, sf, search.full_text(docs, "doc_id", "text", TERMS, 50)), vectors.nearest_each(e.where("label <> 0"), asked(e), "vec_id", "embedding", 50)]
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "best", F.desc("id")))
     return search.fuse(legs, ["q"]).withColumn("score", F.round("score", 9)).withColumn("n", place).where("n <= 20").drop("n")
 
