@@ -26,7 +26,7 @@ from .textkit import slices, text_bytes
 TOKENIZERS = "/opt/tokenizers"
 MODEL_A, MODEL_B = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
 #: Bytes of text aligned at once; distinct stretches joined to a string for encoding.
-UNIT_BYTES, JOINED = 8 << 20, 256
+UNIT_BYTES, JOINED = 4 << 20, 256
 #: Pairs counted that are broadcast at most; beyond, only those that make up more than one in so many links are.
 MOST_PAIRS, HOT_SHARE = 1 << 20, 1000
 #: Last letters' first bytes with which white space beyond ASCII may be written in UTF-8.
