@@ -1,10 +1,12 @@
-"""League tables: ranks, movements, streaks, records, swaps. Windows are partitioned by league (and week) or by manager."""
+"""League tables: ranks, movements, streaks, records, swaps. Windows are partitioned by league and week or by manager; tables and movements are placed by ranges."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import places
+
 
 def competition_rank(groups: list[str], value: str) -> Column:
     """1 + number of strictly greater values in the group."""
@@ -16,22 +18,18 @@ def table_order(groups: list[str], value: str, name: str) -> Column:
     return F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc(value), name)).cast("bigint")
 
 
-def gap_to_leader(groups: list[str], value: str) -> Column:
-    return F.max(value).over(Window.partitionBy(*groups)) - F.col(value)
-
-
 def movement(df: DataFrame, groups: list[str], week: str, member: str, value: str) -> DataFrame:
     """Ranks this week and the week before among members of both weeks, and the places gained; others have no row."""
     before = df.select(*groups, (F.col(week) + 1).alias(week), member, F.col(value).alias("_before"))
     both = df.join(before, [*groups, week, member])
-    ranked = both.withColumn("rank_now", competition_rank([*groups, week], value)).withColumn("rank_before", competition_rank([*groups, week], "_before"))
+    ranked = places.competition_places(places.competition_places(both, [*groups, week], value, "rank_now"), [*groups, week], "_before", "rank_before")
     return ranked.withColumn("moved", F.col("rank_before") - F.col("rank_now")).drop("_before")
 
 
 def at_extremes(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Whether a row has its group's largest or smallest value (ties all have)."""
-    w = Window.partitionBy(*groups)
-    return df.withColumn("is_win", F.col(value) == F.max(value).over(w)).withColumn("is_flop", F.col(value) == F.min(value).over(w))
+    w = places.with_extremes(df, groups, value, "_most", "_least")
+    return w.withColumn("is_win", F.col(value) == F.col("_most")).withColumn("is_flop", F.col(value) == F.col("_least")).drop("_most", "_least")
 
 
 def trailing_streak(df: DataFrame, member: str, week: str, flag: str) -> DataFrame:
@@ -60,9 +58,9 @@ def swaps(df: DataFrame, groups: list[str], week: str, member: str, value: str)
     return joined.select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col(f"a.{member}").alias("ahead"), F.col(f"b.{member}").alias("behind"))
 
 
-def podium_changes(df: DataFrame, groups: list[str], week: str, member: str, value: str, places: int = 3) -> DataFrame:
+def podium_changes(df: DataFrame, groups: list[str], week: str, member: str, value: str, n: int = 3) -> DataFrame:
     """Members that entered or left the first places since the week before."""
-    top = df.withColumn("place", table_order([*groups, week], value, member)).where(F.col("place") <= places).select(*groups, week, member, "place")
+    top = df.withColumn("place", table_order([*groups, week], value, member)).where(F.col("place") <= n).select(*groups, week, member, "place")
     weeks = df.select(*groups, week).distinct()
     old = top.select(*groups, (F.col(week) + 1).alias(week), member, F.col("place").alias("place_before")).join(weeks, [*groups, week], "left_semi")
     known = weeks.select(*groups, (F.col(week) + 1).alias(week))
@@ -70,11 +68,11 @@ def podium_changes(df: DataFrame, groups: list[str], week: str, member: str, val
     return joined.where(F.col("place").isNull() | F.col("place_before").isNull()).withColumn("kind", F.when(F.col("place").isNotNull(), "entered").otherwise("left"))
 
 
-def podium_events(df: DataFrame, groups: list[str], week: str, member: str, value: str, places: int = 3) -> DataFrame:
+def podium_events(df: DataFrame, groups: list[str], week: str, member: str, value: str, n: int = 3) -> DataFrame:
     """What happened to the first places since the week before, where the league had one: new_leader, entered, left, swap.
 
     other is the leader before, the n-th member out for the n-th in, or the one overtaken, if still in the league; gap is the lead over it.
-    One window a league and week orders the members; then only those of the first places of either week are gathered, at most twice places.
+    One window a league and week orders the members; then only those of the first places of either week are gathered, at most 2 n.
     """
     g = [*groups, week]
     own = Window.partitionBy(*groups, member).orderBy(week)
@@ -83,10 +81,10 @@ def podium_events(df: DataFrame, groups: list[str], week: str, member: str, valu
     for name, source in (("place_before", "place"), ("rank_before", "rank_now")):
         placed = placed.withColumn(name, F.when(former, F.lag(source).over(own)))
     known = df.select(*groups, (F.col(week) + 1).alias(week)).distinct()
-    either = placed.where((F.col("place") <= places) | (F.col("place_before") <= places)).join(known, g, "left_semi")
+    either = placed.where((F.col("place") <= n) | (F.col("place_before") <= n)).join(known, g, "left_semi")
     man = F.struct(F.col("place"), F.col("place_before"), F.col(member).alias("member"), F.col(value).alias("value"))
     either = either.withColumn("_all", F.collect_list(man).over(Window.partitionBy(*g)))
-    inside, outside = lambda c: c <= places, lambda c: c.isNull() | (c > places)
+    inside, outside = lambda c: c <= n, lambda c: c.isNull() | (c > n)
     fresh = lambda x: inside(x["place"]) & outside(x["place_before"])
     me = {c: F.col(c) for c in ("place", "place_before")}
     old_leader = F.filter("_all", lambda x: x["place_before"] == 1)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evaluation, rules, search, vectors
+from ..operators import evaluation, places, rules, search, vectors
+from ..sources.store import written
 from ..sources.tables import table
 from .registry import Registry
 
@@ -97,7 +98,7 @@ def token_cost(spark: SparkSession, sf: str) -> DataFrame:
     a.place * 2 <= b.place OR a.place >= b.place * 2 OR a.place <= 10 AS notable FROM r a JOIN r b ON a.o_custkey = b.o_custkey AND b.y = a.y - 1""")
 def thresholds_notable(spark: SparkSession, sf: str) -> DataFrame:
     per = table(spark, sf, "orders").groupBy("o_custkey", F.year("o_orderdate").alias("y")).agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("s"))
-    r = per.withColumn("now", F.rank().over(Window.partitionBy("y").orderBy(F.desc("s"))).cast("bigint")).drop("s")
+    r = written(places.competition_places(per, ["y"], "s", "now").drop("s"))
     j = r.join(r.select("o_custkey", (F.col("y") + 1).alias("y"), F.col("now").alias("before")), ["o_custkey", "y"])
     entered = F.array_join(F.transform(text.thresholds_entered(F.col("before"), F.col("now"), [10, 50, 100, 500]), lambda x: x.cast("string")), ",")
     return j.select("o_custkey", "y", "before", "now", entered.alias("entered"), F.expr("now * 2 <= before or now >= before * 2 or now <= 10").alias("notable"))

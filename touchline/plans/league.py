@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import asof, latest, merge, ranks
+from ..operators import asof, latest, merge, places, ranks
 from ..sources.tables import table, weekly
 from .registry import Registry
 
@@ -23,7 +23,9 @@ QUERIES, ORACLE = query.queries, query.oracle
   row_number() OVER (PARTITION BY league, gw ORDER BY total DESC, manager) AS row_order FROM weekly WINDOW w AS (PARTITION BY league, gw ORDER BY total DESC)""")
 def league_table(spark: SparkSession, sf: str) -> DataFrame:
     g = ["league", "gw"]
-    return weekly(spark, sf).select(*g, "manager", "total", ranks.competition_rank(g, "total").alias("place"), ranks.gap_to_leader(g, "total").alias("gap"), ranks.table_order(g, "total", "manager").alias("row_order"))
+    w = places.with_extremes(weekly(spark, sf).drop("points"), g, "total", "most", "least")
+    w = places.row_places(places.competition_places(w, g, "total", "place"), g, [F.desc("total"), F.col("manager")], "row_order")
+    return w.select(*g, "manager", "total", "place", (F.col("most") - F.col("total")).alias("gap"), "row_order")
 
 
 MOVES = f"""{WEEKLY}, moves AS (SELECT a.league, a.gw, a.manager, rank() OVER (PARTITION BY a.league, a.gw ORDER BY a.total DESC) AS rank_now,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import latest, posts as ops
+from ..operators import latest, places
+from ..operators import posts as ops
 from ..sources.tables import table
 from .registry import Registry
 
@@ -173,7 +174,7 @@ def _tried(spark: SparkSession, sf: str) -> DataFrame:
 def index_missing(spark: SparkSession, sf: str) -> DataFrame:
     """Documents never embedded or not with success, numbered in the order of their source's queue."""
     todo = table(spark, sf, "documents").select("doc_id", "source").join(_tried(spark, sf).where("status = 'embedded'").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
-    return todo.select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("bigint").alias("place"))
+    return places.row_places(todo, ["source"], [F.col("doc_id")], "place").select("doc_id", "place")
 
 
 @query(f"""WITH {INDEX} SELECT count(*) FILTER (status = 'embedded') AS embedded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status IS NULL) AS missing, CAST(sum(ceil(n_chars / 4.0)) AS BIGINT) AS tokens,
@@ -236,10 +237,12 @@ def name_variants(spark: SparkSession, sf: str) -> DataFrame:
   SELECT c_custkey, CASE WHEN same = 1 THEN lower(c_mktsegment) WHEN n = 1 THEN lower(c_mktsegment) || ' ' || c_mktsegment[1] ELSE lower(c_mktsegment) || ' ' || c_mktsegment[1] || n END AS display FROM a""")
 def display_names(spark: SparkSession, sf: str) -> DataFrame:
     """Names inside a group: alone if unique, else with an initial, the later ones with a number."""
-    w = Window.partitionBy("c_nationkey", "c_mktsegment")
+    g = ["c_nationkey", "c_mktsegment"]
     low, initial = F.lower("c_mktsegment"), F.substring("c_mktsegment", 1, 1)
-    n = F.row_number().over(w.orderBy("c_custkey"))
-    return table(spark, sf, "customer").withColumn("same", F.count("*").over(w)).withColumn("n", n).select("c_custkey", F.when(F.col("same") == 1, low).when(F.col("n") == 1, F.concat(low, F.lit(" "), initial)).otherwise(F.concat(low, F.lit(" "), initial, F.col("n").cast("string"))).alias("display"))
+    c = table(spark, sf, "customer").select("c_custkey", *g)
+    c = places.matched(places.row_places(c, g, [F.col("c_custkey")], "n"), c.groupBy(*g).agg(F.count("*").alias("same")), g)
+    return c.select("c_custkey", F.when(F.col("same") == 1, low).when(F.col("n") == 1, F.concat(low, F.lit(" "), initial)).otherwise(F.concat(low, F.lit(" "), initial, F.col("n").cast("string"))).alias("display"))
+
 
 
 @query("""WITH names AS (SELECT DISTINCT lower(text[1:4]) AS stem FROM benchmark WHERE regexp_matches(lower(text[1:4]), '^[a-z]{4}$')), words AS (SELECT DISTINCT lower(w) AS w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM conversations))
