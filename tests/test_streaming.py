@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators.latest import change_log, latest_per_key
+from touchline.sources import keyed
 from touchline.streaming import changes
 
 SCHEMA = "id bigint, user string, ts timestamp, kind string"
@@ -56,11 +57,12 @@ def test_window_counts(spark, folder, tmp_path):
     assert (at(60), "c") not in rows  # the watermark has not passed that window
 
 
-def test_upsert_sink(spark, folder, tmp_path):
+def test_keyed_sink(spark, folder, tmp_path):
     path = str(tmp_path / "table")
-    drain(changes.follow(spark, folder, 1), tmp_path, changes.upsert_sink(path, ["id"], ["ts"]))
-    want = latest_per_key(spark.read.parquet(folder), ["id"], ["ts"])
-    assert sorted(map(str, changes.latest(spark, path).select(*want.columns).collect())) == sorted(map(str, want.collect()))
-    sink, before = changes.upsert_sink(path, ["id"], ["ts"]), changes.latest(spark, path).count()
-    sink(spark.createDataFrame(BATCHES[2], SCHEMA), 2)  # the same batch again
-    assert changes.latest(spark, path).count() == before
+    rules = {"user": "last", "kind": "last"}
+    drain(changes.follow(spark, folder, 1), tmp_path, keyed.sink(path, ["id"], ["ts"], rules))
+    want = latest_per_key(spark.read.parquet(folder), ["id"], ["ts"]).select("id", "ts", "user", "kind")
+    now = lambda: sorted(map(str, keyed.read(spark, path, "id bigint, ts timestamp, user string, kind string").collect()))
+    assert now() == sorted(map(str, want.collect()))
+    keyed.sink(path, ["id"], ["ts"], rules)(spark.createDataFrame([(1, "zz", at(99), "out")], SCHEMA), 2)  # the number of a batch that is in already
+    assert now() == sorted(map(str, want.collect()))

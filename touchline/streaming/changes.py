@@ -1,6 +1,6 @@
-"""Streams of posts and flags: late and repeated rows, changes of a key's values, counts of windows, and an upsert sink.
+"""Streams of posts and flags: late and repeated rows, changes of a key's values, and counts of windows. Keyed tables are written by sources.keyed.sink().
 
-Every function takes a streaming DataFrame and returns one (or a sink for foreachBatch); state is kept per key and is bounded by the
+Every function takes a streaming DataFrame and returns one; state is kept per key and is bounded by the
 watermark or by the number of keys.
 """
 
@@ -52,25 +52,3 @@ def changes(stream: DataFrame, key: str, order: str, tracked: str) -> DataFrame:
 
     slim = stream.where(F.col(key).isNotNull() & F.col(order).isNotNull()).select(F.col(key), F.col(order).alias("at"), F.col(tracked).cast("string").alias("value"))
     return slim.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {order} {kinds[order]}, was string, now string", "last bigint, before string, seen boolean", "append", GroupStateTimeout.NoTimeout)
-
-
-def upsert_sink(path: str, keys: list[str], order: list[str]):
-    """A foreachBatch function that keeps the newest row of each key under path, one version a batch.
-
-    Version n holds all keys after batch n; a batch that is run again after a failure writes its own version anew from the one before,
-    so the effect is exactly once. Read the highest version with latest().
-    """
-    from ..operators.latest import latest_per_key
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = batch if number == 0 else batch.unionByName(spark.read.parquet(f"{path}/version={number - 1}"))
-        latest_per_key(known, keys, order).write.mode("overwrite").parquet(f"{path}/version={number}")
-
-    return write
-
-
-def latest(spark: SparkSession, path: str) -> DataFrame:
-    """The table that upsert_sink() wrote last."""
-    table = spark.read.parquet(path)
-    return table.join(F.broadcast(table.agg(F.max("version").alias("version"))), "version").drop("version")  # one row is broadcast
