@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_name
 from .textkit import LOWER, SPACE, U64, Hasher, mix, slices, text_bytes, word_spans
 
 #: An item is found where a substring is within this share of the item's length (in code points) by edit distance.
@@ -360,5 +361,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
     gone = leaks(docs.select(digest.alias("__leaked"), F.col(text_col).alias("text")), benchmark, "__leaked", "text").select("__leaked").distinct()
-    keyed = docs.withColumn("__digest", digest)
-    return keyed.join(gone, keyed["__digest"] == gone["__leaked"], "left_anti").drop("__digest")
+    own = free_name(docs, "__digest")
+    keyed = docs.withColumn(own, digest)
+    return keyed.join(gone, keyed[own] == gone["__leaked"], "left_anti").drop(own)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import materialize
+from .shared import free_name, materialize
 from .textkit import LOWER, U64, mix, slices, text_bytes
 
 #: Slots of a filter bucket, bits of a fingerprint, and moves before the filter counts as full.
@@ -222,5 +222,6 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     groups = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept_id"), F.unhex("text_sha256").alias("__kept_digest")).distinct()
     lower = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    keyed = docs.withColumn("__digest", F.unhex(F.sha2(lower, 256)))
-    return keyed.join(groups, (keyed["__digest"] == groups["__kept_digest"]) & keyed[id_col].eqNullSafe(groups["__kept_id"]), "left_semi").drop("__digest")
+    own = free_name(docs, "__digest")
+    keyed = docs.withColumn(own, F.unhex(F.sha2(lower, 256)))
+    return keyed.join(groups, (keyed[own] == groups["__kept_digest"]) & keyed[id_col].eqNullSafe(groups["__kept_id"]), "left_semi").drop(own)

@@ -17,10 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded
 from .textkit import U64, crc_held_out, segment_ids, slices, text_bytes
 
 #: Hash buckets, n-gram lengths in bytes, and the bound of the fitting sample: texts of all languages together.
 DIMENSIONS, NGRAMS, FIT_DOCS = 4096, (1, 2, 3), 2400
+#: Times the sample that is held at most where ids repeat.
+MOST = 1.5
 #: Rows whose features are made at once (16 KB a row).
 BLOCK_ROWS = 256
 #: Languages of a family by ISO 639-1 code. A code that isn't listed is a family of its own.
@@ -130,7 +133,11 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, holdout: tuple[int, int], fit_docs: int = FIT_DOCS) -> Model:
-    """Fit on a bounded sample of labelled rows: about fit_docs in all, shared equally by the languages, by a hash of the id."""
+    """Fit on a bounded sample of labelled rows: about fit_docs in all, shared equally by the languages, by a hash of the id.
+
+    Rows that share an id are chosen together, so what is chosen is bounded once more: equal rows count once, and of more than
+    MOST times fit_docs rows those with the smallest hashes of id and text stay.
+    """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null and id is not null")
     known = known.where(F.crc32(F.col("id").cast("string")) % holdout[0] != holdout[1])
     have = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row for each language
@@ -139,6 +146,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, holdout: t
     each = max(1, fit_docs // len(have))
     take = F.create_map(*[x for k, n in sorted(have.items()) for x in (F.lit(k), F.lit(min(1.0, each / n)))])
     picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < take[F.col("lang")] * (1 << 30))
+    picked = bounded(picked, ["id", "text", "lang"], int(MOST * fit_docs))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

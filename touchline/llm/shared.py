@@ -36,5 +36,21 @@ def small(df: DataFrame, row_bytes: int = 24, limit: int = 12 << 20) -> DataFram
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df has it, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bounded(df: DataFrame, columns: list[str], most: int) -> DataFrame:
+    """The distinct rows of df, at most so many of them: those with the smallest hashes. Meant for samples whose rows may repeat a key."""
+    from pyspark.sql import functions as F
+
+    few = df.select(*columns).dropDuplicates().orderBy(F.xxhash64(*columns)).limit(most)
+    return few.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded
 from .textkit import U64, Hasher, crc_held_out, segment_ids, segment_sum, slices, text_bytes
 
 #: Subword buckets, width of the embeddings, n-gram lengths in bytes, words in a window.
@@ -27,6 +28,8 @@ BUCKETS, WIDTH, NGRAMS, WINDOW = 1 << 17, 8, (3, 4, 5, 6), 12
 MIN_DOCUMENTS = 3
 #: Bounds of the fitting sample: documents of each label, and the longest text in bytes among them.
 FIT_DOCS, FIT_BYTES = 1500, 1 << 13
+#: Times the sample that is held at most where ids repeat.
+MOST = 1.5
 
 #: Bytes of words: letters, digits and all of non-ASCII text.
 WORDY = np.zeros(256, bool)
@@ -216,16 +219,17 @@ def _fit(texts: list[str], labels: np.ndarray, epochs: int, rounds: int, seed: i
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_docs: int = FIT_DOCS, holdout: tuple[int, int] | None = (5, 0)) -> Model:
     """Fit on a bounded sample of labelled rows: about fit_docs of each label, by a hash of the id, of texts up to FIT_BYTES.
 
-    holdout (modulus, remainder) names rows that are never learned from. Rows without id, text or label don't take part.
+    holdout (modulus, remainder) names rows that are never learned from. Rows without id, text or label don't take part. Where labels
+    or documents repeat an id, equal rows count once, and of more than MOST times the sample those with the smallest hashes stay.
     """
-    known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)")
+    known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").distinct()
     if holdout:
         known = known.where(F.crc32(F.col("id").cast("string")) % holdout[0] != holdout[1])
     have = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     take = F.create_map(*[x for k in (0, 1) for x in (F.lit(k), F.lit(min(1.0, fit_docs / max(1, have.get(k, 0)))))])
     picked = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < take[F.col("toxic")] * (1 << 30))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") <= FIT_BYTES)
-    rows = texts.join(F.broadcast(picked), "id").select("id", "text", "toxic")  # picked: about 2 * fit_docs small rows
+    rows = bounded(texts.join(F.broadcast(picked), "id"), ["id", "text", "toxic"], int(MOST * 2 * fit_docs))  # picked: about 2 * fit_docs small rows
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("id", "text", "toxic")), strict=True)]
