@@ -6,11 +6,11 @@ import decimal
 import duckdb
 import pytest
 
-from touchline.plans import alerts, analysis, chips, corroboration, facts, league, posts, reports, retrieval, squads, tables
+from touchline.plans import alerts, analysis, archives, chips, corroboration, facts, league, posts, reports, retrieval, squads, tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PAIRS = [(name, plan) for plan in (league, analysis, squads, posts, facts, alerts, reports, retrieval, corroboration, tables, chips) for name in plan.ORACLE]
+PAIRS = [(name, plan) for plan in (league, analysis, squads, posts, facts, alerts, reports, retrieval, corroboration, tables, chips, archives) for name in plan.ORACLE]
 
 
 @pytest.fixture(scope="module")
