@@ -238,4 +238,4 @@ def interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 def _overlapping(lines: DataFrame) -> DataFrame:
     s = lines.groupBy("l_suppkey", "l_orderkey").agg(F.min("l_shipdate").alias("a"), F.max("l_shipdate").alias("b"), F.count("*").alias("n")).where("n > 1")
-    return asof.overlaps(s, s, "a", "b", ["l_suppkey"]).where("x.l_orderkey < y.l_orderkey").select("x.l_suppkey", F.col("x.l_orderkey").alias("one"), F.col("y.l_orderkey").alias("two"))
+    return asof.overlaps(s, ["l_suppkey"], "l_orderkey", "a", "b").select("l_suppkey", F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two"))
