@@ -1,11 +1,12 @@
 """The stored text index and the vector blocks against plain versions."""
 
 import datetime
+import random
 import re
 
 import numpy as np
 
-from touchline.operators import textindex, vectors
+from touchline.operators import search, textindex, vectors
 
 T = datetime.datetime(2024, 1, 1)
 SCHEMA = "id long, text string, at timestamp_ntz"
@@ -114,3 +115,20 @@ def test_nearest_and_recall_against_plain(spark, monkeypatch):
     rows_ = vectors.recall(table, table.where("vec_id % 10 = 0"), "vec_id", "embedding", "label", 5).collect()
     assert {r["q"]: tuple(r)[1:] for r in rows_} == want
     assert any(r < 1 / 5 for *_, r in want.values())  # the second pass is taken
+
+
+def test_a_word_counts_for_its_first_term(spark):
+    rng = random.Random(8)
+    words = ["than", "thanks", "thank", "the", "th", "of", "offer", "öf", "x-than", "o", "than2", "ofx", "THAN."]
+    texts = {i: " ".join(rng.choice(words) for _ in range(rng.randrange(12))) for i in range(60)} | {90: None, 91: ""}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    for terms in (["than", "of"], ["thank", "than", "thanks"], ["than", "thank", "of", "of"], ["of", "o", "offer"], ["the", "th"]):
+        want = []
+        for i, t in texts.items():
+            hits = [next((q for q in terms if (w.startswith(q) if len(q) >= 3 else w == q)), None) for w in re.split("[^a-z0-9]+", (t or "").lower().replace("ö", "o")) if w]
+            hits = [h for h in hits if h]
+            if hits:
+                want.append((len(set(hits)), len(hits), i))
+        got = [(r["matched"], r["tf"], r["id"]) for r in sorted(search.full_text(docs, "id", "text", terms, 50).collect(), key=lambda r: r["place"])]
+        assert got == sorted(want, reverse=True)[:50], terms
+    assert search.full_text(docs, "id", "text", [], 5).collect() == []

@@ -11,16 +11,21 @@ MARKED = "àáâãäåāăąçćčďđðèéêëēęěìíîïīıłñńňòóô
 PLAIN = "aaaaaaaaacccdddeeeeeeeiiiiiilnnnoooooooorsssttuuuuuuuyyzzz"
 
 
-def normalise(c: Column) -> Column:
-    """Lower case, without marks; dots, apostrophes and hyphens are blanks, runs of blanks one."""
+def plain_letters(c: Column) -> Column:
+    """Lower case, without marks. Runs of its letters and digits are the words of normalise() too."""
     c = F.lower(c)
     for a, b in LONGER.items():
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(c, MARKED, PLAIN), r"[.'’\-]", " "), r"\s+", " "))
+    return F.translate(c, MARKED, PLAIN)
+
+
+def normalise(c: Column) -> Column:
+    """Lower case, without marks; dots, apostrophes and hyphens are blanks, runs of blanks one."""
+    return F.trim(F.regexp_replace(F.regexp_replace(plain_letters(c), r"[.'’\-]", " "), r"\s+", " "))
 
 
 def tokens(c: Column) -> Column:
-    return F.filter(F.split(normalise(c), r"[^a-z0-9]+"), lambda x: x != "")
+    return F.filter(F.split(plain_letters(c), r"[^a-z0-9]+"), lambda x: x != "")
 
 
 def is_subset(a: Column, b: Column) -> Column:

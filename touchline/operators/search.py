@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import plain_letters
+
+
+def first_hits(terms: list[str], prefix_from: int) -> list[str]:
+    """Expressions that find the words of each term, without those that an earlier term has; none for a term that earlier ones cover, or
+    that no word can have."""
+    out, terms = [], [t for t in terms if re.fullmatch("[a-z0-9]+", t)]
+    for k, t in enumerate(terms):
+        if any(t == x or (len(x) >= prefix_from and t.startswith(x)) for x in terms[:k]):
+            continue
+        whole = len(t) < prefix_from
+        longer = "" if whole else "".join(f"(?!{x[len(t):]}{'' if len(x) >= prefix_from else '(?![a-z0-9])'})" for x in terms[:k] if x.startswith(t))
+        out.append(f"(?<![a-z0-9]){t}{'(?![a-z0-9])' if whole else longer}")
+    return out
 
 
 def full_text(docs: DataFrame, id_col: str, text_col: str, terms: list[str], depth: int, prefix_from: int = 3) -> DataFrame:
@@ -16,10 +31,11 @@ def full_text(docs: DataFrame, id_col: str, text_col: str, terms: list[str], dep
     """
     if not terms:
         return docs.where("false").select(F.lit(0).cast("bigint").alias("place"), F.col(id_col).alias("id"), F.lit(0).cast("bigint").alias("matched"), F.lit(0).cast("bigint").alias("tf"))
-    is_hit = lambda x, t: x.startswith(t) if len(t) >= prefix_from else x == t
-    which = lambda x: F.coalesce(*[F.when(is_hit(x, t), F.lit(t)) for t in terms])
-    hits = F.filter(F.transform(tokens(F.col(text_col)), which), lambda x: x.isNotNull())
-    scored = docs.select(F.col(id_col).alias("id"), hits.alias("_hits")).where("size(_hits) > 0").select("id", F.size(F.array_distinct("_hits")).cast("bigint").alias("matched"), F.size("_hits").cast("bigint").alias("tf"))
+    words = plain_letters(F.col(text_col))
+    scored = docs.select(F.col(id_col).alias("id"), *[F.regexp_count(words, F.lit(p)).alias(f"_{k}") for k, p in enumerate(first_hits(terms, prefix_from))])
+    counts = [F.coalesce(f"_{k}", F.lit(0)) for k in range(len(scored.columns) - 1)]
+    matched, tf = sum(((n > 0).cast("bigint") for n in counts), F.lit(0)), sum((n.cast("bigint") for n in counts), F.lit(0))
+    scored = scored.select("id", matched.cast("bigint").alias("matched"), tf.cast("bigint").alias("tf")).where("tf > 0")
     top = scored.orderBy(F.desc("matched"), F.desc("tf"), F.desc("id")).limit(depth)
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("matched"), F.desc("tf"), F.desc("id"))).cast("bigint"))
 
