@@ -19,7 +19,7 @@ def first_hits(terms: list[str], prefix_from: int) -> list[str]:
             continue
         whole = len(t) < prefix_from
         longer = "" if whole else "".join(f"(?!{x[len(t):]}{'' if len(x) >= prefix_from else '(?![a-z0-9])'})" for x in terms[:k] if x.startswith(t))
-        out.append(f"(?<![a-z0-9]){t}{'(?![a-z0-9])' if whole else longer}")
+        out.append(f"{t}(?<![a-z0-9]{t}){'(?![a-z0-9])' if whole else longer}")  # the letters first: they are searched for without trying each place
     return out
 
 
@@ -31,12 +31,12 @@ def full_text(docs: DataFrame, id_col: str, text_col: str, terms: list[str], dep
     """
     if not terms:
         return docs.where("false").select(F.lit(0).cast("bigint").alias("place"), F.col(id_col).alias("id"), F.lit(0).cast("bigint").alias("matched"), F.lit(0).cast("bigint").alias("tf"))
-    words = plain_letters(F.col(text_col))
-    scored = docs.select(F.col(id_col).alias("id"), *[F.regexp_count(words, F.lit(p)).alias(f"_{k}") for k, p in enumerate(first_hits(terms, prefix_from))])
+    scored = docs.select(F.col(id_col).alias("id"), plain_letters(F.col(text_col)).alias("words"))
+    scored = scored.select("id", *[F.regexp_count("words", F.lit(p)).alias(f"_{k}") for k, p in enumerate(first_hits(terms, prefix_from))])
     counts = [F.coalesce(f"_{k}", F.lit(0)) for k in range(len(scored.columns) - 1)]
     matched, tf = sum(((n > 0).cast("bigint") for n in counts), F.lit(0)), sum((n.cast("bigint") for n in counts), F.lit(0))
-    scored = scored.select("id", matched.cast("bigint").alias("matched"), tf.cast("bigint").alias("tf")).where("tf > 0")
-    top = scored.orderBy(F.desc("matched"), F.desc("tf"), F.desc("id")).limit(depth)
+    scored = scored.select("id", matched.cast("bigint").alias("matched"), tf.cast("bigint").alias("tf"))
+    top = scored.orderBy(F.desc("matched"), F.desc("tf"), F.desc("id")).limit(depth).where("tf > 0")  # after the limit: before it, the texts would be searched once more
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("matched"), F.desc("tf"), F.desc("id"))).cast("bigint"))
 
 
