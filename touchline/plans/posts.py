@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import has_word
 from ..operators import latest, places
 from ..operators import posts as ops
 from ..sources.tables import table
@@ -123,9 +124,9 @@ def fetch_gates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT conv_id, turn, regexp_matches(text, '(?i)\\b(with|for|that)\\b') AS lineup, regexp_matches(text, '(?i)\\b(de|la|les)\\b') AS availability, starts_with(lower(text), 'is ') AS prefixed FROM conversations""")
 def keyword_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """Word classes by case-insensitive expressions, and a prefix."""
-    c = table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", F.col("text").rlike(r"(?i)\b(with|for|that)\b").alias("lineup"), F.col("text").rlike(r"(?i)\b(de|la|les)\b").alias("availability"), F.lower("text").startswith("is ").alias("prefixed"))
+    """Word classes by case-insensitive expressions, and a prefix. Letters, edges of words and case are those of the SQL: edges know ASCII alone, a long s is an s, a dotted capital I is an i."""
+    text = F.col("text")
+    return table(spark, sf, "conversations").select("conv_id", "turn", has_word(text, "with|for|that").alias("lineup"), has_word(text, "de|la|les").alias("availability"), text.rlike("^[iI\u0130][sS] ").alias("prefixed"))
 
 
 @query(f"""WITH {POSTS}, deadlines AS (SELECT DISTINCT date_trunc('week', created) + INTERVAL 90 HOUR AS d FROM posts) SELECT post_id, (SELECT min(d) FROM deadlines WHERE d > created) AS next_deadline, (SELECT max(d) FROM deadlines WHERE d <= created) AS last_deadline FROM posts""")

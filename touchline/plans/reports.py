@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import has_word
 from ..sources.tables import table
 from .posts import POSTS, events
 from .registry import Registry
@@ -95,7 +96,7 @@ def verdict_import(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT doc_id, source, regexp_matches(text, '(?i)\\b(with|that)\\b') AS keyword FROM documents d WHERE source NOT IN ('src1', 'src2') AND (EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1) OR regexp_matches(text, '(?i)\\b(with|that)\\b') OR substr(md5('seed' || doc_id), 1, 1) IN ('0', '1'))""")
 def corpus_prefilter(spark: SparkSession, sf: str) -> DataFrame:
     """A corpus without excluded sources: required ids, keyword matches, and of the rest a share by a seeded digest."""
-    d = table(spark, sf, "documents").where("source not in ('src1', 'src2')").withColumn("keyword", F.col("text").rlike(r"(?i)\b(with|that)\b"))
+    d = table(spark, sf, "documents").where("source not in ('src1', 'src2')").withColumn("keyword", has_word(F.col("text"), "with|that"))
     need = table(spark, sf, "labels").where("quality = 1").select("doc_id").distinct().withColumn("required", F.lit(True))
     digest = F.substring(F.md5(F.concat(F.lit("seed"), F.col("doc_id").cast("string"))), 1, 1)
     return d.join(need, "doc_id", "left").where(F.coalesce("required", F.lit(False)) | F.coalesce("keyword", F.lit(False)) | digest.isin("0", "1")).select("doc_id", "source", "keyword")
