@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import evaluation, places, rules, search, vectors
+from ..operators import containment, evaluation, places, rules, search, vectors
 from ..sources.store import written
 from ..sources.tables import table
 from .registry import Registry
@@ -76,10 +76,9 @@ def normalise_text(spark: SparkSession, sf: str) -> DataFrame:
   SELECT a.p_partkey AS one, b.p_partkey AS two FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey
   WHERE len(list_filter(a.w, lambda x: NOT list_contains(b.w, x))) = 0 OR len(list_filter(b.w, lambda x: NOT list_contains(a.w, x))) = 0""")
 def token_subset(spark: SparkSession, sf: str) -> DataFrame:
-    t = table(spark, sf, "part").select("p_partkey", "p_brand", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("w"))
-    a, b = t.alias("a"), t.alias("b")
-    j = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return j.where(text.is_subset(F.col("a.w"), F.col("b.w"))).select(F.col("a.p_partkey").alias("one"), F.col("b.p_partkey").alias("two"))
+    """Parts of a brand of which one's words all stand in the other's name. Sets of words are compared, and parts paired by them."""
+    t = table(spark, sf, "part").select("p_partkey", "p_brand", F.split(F.lower("p_name"), " ").alias("w"))
+    return containment.pairs(t, ["p_brand"], "w", "p_partkey")
 
 
 @query("SELECT o_orderkey, printf('%d/%02d', year(o_orderdate), (year(o_orderdate) + 1) % 100) AS season FROM orders")
