@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import containment, evaluation, places, rules, search, vectors
 from ..sources.store import written
-from ..sources.tables import table
+from ..sources.tables import table, tasks_for
 from .registry import Registry
 
 query = Registry()
@@ -238,11 +238,16 @@ def near_misses(spark: SparkSession, sf: str) -> DataFrame:
   s AS (SELECT one, two, l_partkey, q FROM c JOIN h ON o_custkey = one WHERE two IS NOT NULL UNION ALL SELECT one, two, l_partkey, -q FROM c JOIN h ON o_custkey = two)
   SELECT one, two, l_partkey, CAST(sum(q) AS BIGINT) AS swing FROM s GROUP BY 1, 2, 3 HAVING sum(q) <> 0""")
 def pair_swings(spark: SparkSession, sf: str) -> DataFrame:
-    h = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.sum("l_quantity").cast("bigint").alias("q"))
+    """What next members of a nation bought more or less of each part. Each shuffle deals rows to as many tasks as their number asks for."""
+    li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    n = tasks_for(li, o)
+    lines = li.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey", "l_quantity").repartition(n, "o_orderkey")
+    bought = lines.join(o.select("o_orderkey", "o_custkey").repartition(n, "o_orderkey"), "o_orderkey").drop("o_orderkey").repartition(n, "o_custkey")
+    h = bought.groupBy("o_custkey", "l_partkey").agg(F.sum("l_quantity").cast("bigint").alias("q"))
     two = F.lead("c_custkey").over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
     pairs = table(spark, sf, "customer").select(F.col("c_custkey").alias("one"), two.alias("two")).where("two is not null")
     sides = F.explode(F.array(F.struct(F.col("one").alias("o_custkey"), F.lit(1).alias("sign")), F.struct(F.col("two").alias("o_custkey"), F.lit(-1).alias("sign"))))
-    each = pairs.withColumn("side", sides).select("one", "two", "side.*").join(h, "o_custkey")
+    each = pairs.withColumn("side", sides).select("one", "two", "side.*").repartition(n, "o_custkey").join(h, "o_custkey").repartition(2 * n, "one", "two")
     return each.groupBy("one", "two", "l_partkey").agg(F.sum(F.col("q") * F.col("sign")).cast("bigint").alias("swing")).where("swing <> 0")
 
 
