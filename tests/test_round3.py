@@ -35,3 +35,42 @@ def test_member_rows_add_in_one_order(spark, tmp_path):
     (tmp_path / "mixed").rename(mixed / "orders.parquet")
     (tmp_path / "customer.parquet").rename(mixed / "customer.parquet")
     assert sorted((tuple(r) for r in facts.member_rows(spark, str(mixed)).collect()), key=str) == want
+
+
+def test_token_subset_pairs_by_classes_in_bounded_cells(spark, tmp_path, monkeypatch):
+    """A class of many members is dealt into cells and the cells to tasks; before, every part of a brand met every other."""
+    from touchline.operators import containment
+
+    monkeypatch.setattr(containment, "CELL", 7)
+    monkeypatch.setattr(containment, "TASK_PAIRS", 200)
+    part = """SELECT i AS p_partkey, CASE WHEN i = 90 THEN NULL ELSE 'B' || i % 2 END AS p_brand,
+      CASE WHEN i % 11 = 0 THEN 'red ring' WHEN i % 11 < 4 THEN 'Ring' WHEN i % 11 = 5 THEN NULL WHEN i % 11 = 6 THEN '' WHEN i % 11 = 7 THEN 'ring  red' ELSE 'w' || i END AS p_name FROM range(120) r(i) UNION ALL SELECT 5, 'B1', 'ring'"""
+    got, want = both(spark, tmp_path, analysis, "token_subset", part=part)
+    assert got == want and len(got) > 400
+    assert analysis.token_subset(spark, str(tmp_path)).rdd.getNumPartitions() > 1
+
+
+LINES = "SELECT i // 4 AS l_orderkey, (i * 17) % 60 AS l_partkey FROM range(600) r(i) UNION ALL SELECT NULL, 3 UNION ALL SELECT 7, NULL"
+PARTS = """SELECT i AS p_partkey, CASE WHEN i % 5 = 0 THEN NULL ELSE 'B' || i % 4 END AS p_brand, CASE WHEN i = 50 THEN NULL ELSE 'x ' || CASE WHEN i % 3 = 0 THEN 'own' || i ELSE 'w' || i % 7 END END AS p_name,
+  (i % 2)::INTEGER AS p_size FROM range(58) r(i) UNION ALL SELECT NULL, 'B1', 'x w1', 1"""
+
+
+def test_post_disambiguation_leaves_candidates_unshuffled(spark, tmp_path):
+    """Brands that are null are no brand of an order; and no window or shuffle holds candidates."""
+    got, want = both(spark, tmp_path, squads, "post_disambiguation", part=PARTS, lineitem=LINES)
+    assert got == want and any(r[3] for r in got) and not all(r[3] for r in got)
+    assert "Window" not in squads.post_disambiguation(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_post_mentions_meet_known_brands_alone(spark, tmp_path):
+    got, want = both(spark, tmp_path, tables, "post_mentions", part=PARTS.split(" UNION ALL")[0], lineitem=LINES)
+    assert got == want
+
+
+def test_tasks_grow_with_the_rows(spark):
+    """pair_swings and post_mentions deal rows to as many tasks as there are half millions of them."""
+    from touchline.sources.tables import tasks_for
+
+    assert [tasks_for(spark.range(n)) for n in (0, 500_000, 1_000_001)] == [1, 1, 3]
+    plan = analysis.pair_swings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= 4

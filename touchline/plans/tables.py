@@ -9,6 +9,7 @@ from ..operators import containment, places
 from ..sources.store import written
 from ..sources.tables import table
 from .registry import Registry
+from .squads import known_brands, mentions, part_keys
 
 query = Registry()
 QUERIES, ORACLE = query.queries, query.oracle
@@ -93,14 +94,13 @@ def subset_classes(spark: SparkSession, sf: str) -> DataFrame:
   f AS (SELECT c.*, u.p_brand IS NOT NULL AS inside FROM c LEFT JOIN u USING (l_orderkey, p_brand)), q AS (SELECT * FROM f QUALIFY inside OR NOT bool_or(inside) OVER (PARTITION BY l_orderkey, key))
   SELECT l_orderkey, key, any_value(n) AS n_candidates, count(*) AS n_kept, CASE WHEN count(*) = 1 THEN min(p_partkey) END AS resolved FROM q GROUP BY 1, 2""")
 def post_mentions(spark: SparkSession, sf: str) -> DataFrame:
-    """What post_disambiguation keeps of each mention, counted: a key's candidates are one row a brand, so a mention meets brands and not parts."""
-    k = table(spark, sf, "part").select("p_partkey", "p_brand", F.concat(F.element_at(F.split("p_name", " "), -1), F.col("p_size").cast("string")).alias("key"))
-    m = table(spark, sf, "lineitem").join(k, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "key").distinct()
-    total = k.groupBy("key").agg(F.count("*").alias("n_candidates"))
-    brands = k.groupBy("key", "p_brand").agg(F.count("*").alias("of_brand"), F.min("p_partkey").alias("least"))
-    c = m.join(total, "key").join(brands, "key")
-    known = c.where("n_candidates = 1").select("l_orderkey", "p_brand").distinct().withColumn("inside", F.lit(True))
-    c = c.join(known, ["l_orderkey", "p_brand"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
-    sums = c.groupBy("l_orderkey", "key", "n_candidates").agg(F.sum(F.when(F.col("inside"), F.col("of_brand"))).alias("n_inside"), F.min(F.when(F.col("inside"), F.col("least"))).alias("least_inside"), F.min("least").alias("least"))
+    """What post_disambiguation keeps of each mention, counted: a mention meets the brands that its order is known to have, and no parts."""
+    k = part_keys(spark, sf)
+    m, n = mentions(spark, sf, k)
+    total = k.groupBy("key").agg(F.count("*").alias("n_candidates"), F.min("p_partkey").alias("least"))
+    brands = k.groupBy("key", "p_brand").agg(F.count("*").alias("of_brand"), F.min("p_partkey").alias("least_inside"))
+    near = known_brands(m, k, n).join(brands, ["key", "p_brand"])
+    sums = near.repartition(n, "l_orderkey", "key").groupBy("l_orderkey", "key").agg(F.sum("of_brand").alias("n_inside"), F.min("least_inside").alias("least_inside"))
+    c = m.join(sums, ["l_orderkey", "key"], "left").join(total, "key")
     kept = F.coalesce("n_inside", "n_candidates")
-    return sums.select("l_orderkey", "key", "n_candidates", kept.alias("n_kept"), F.when(kept == 1, F.coalesce("least_inside", "least")).alias("resolved"))
+    return c.select("l_orderkey", "key", "n_candidates", kept.alias("n_kept"), F.when(kept == 1, F.coalesce("least_inside", "least")).alias("resolved"))
