@@ -74,3 +74,39 @@ def test_tasks_grow_with_the_rows(spark):
     assert [tasks_for(spark.range(n)) for n in (0, 500_000, 1_000_001)] == [1, 1, 3]
     plan = analysis.pair_swings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") >= 4
+
+
+def test_search_by_blocks_of_documents_and_queries(spark, tmp_path, monkeypatch):
+    """Blocks of few documents and of one query give what whole tables give; pairs of queries and documents are never rows to be added up."""
+    from touchline.operators import textindex
+
+    words = ["bridge", "bridges", "river", "stone", "stony", "ox", "carts", "the", "going", "boss"]
+    docs = [(i, " ".join(words[(i * k * k + k) % 10] for k in range(1 + i % 9)), None if i % 4 == 0 else i % 3) for i in range(60)]
+    table = spark.createDataFrame(docs, "id long, text string, day int").selectExpr("id", "text", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, day) as at")
+    asked = spark.createDataFrame([(1, "bridge of stones"), (2, "ox"), (3, "the"), (4, "rivers going")], "q long, text string")
+    path = str(tmp_path / "index")
+    textindex.add(table.select("id", "text"), path, "id", "text", times=table.select(textindex.F.col("id").alias("doc"), "at"))
+    rank = lambda: sorted(tuple(r) for r in textindex.search(path, asked, depth=7).select("q", "place", "id", "covers").collect())
+    whole = rank()
+    terms = lambda text: [t for t in (textindex._stem_words((text or "").split()))]
+    want = []
+    for q, text in ((r["q"], r["text"]) for r in asked.collect()):
+        wants = {t for t in terms(text) if t}
+        covers = {i: sum(any(t.startswith(w) if len(w) >= 3 else t == w for w in wants) for t in terms(x) if t) for i, x, _ in docs}
+        best = sorted((i for i in covers if covers[i]), key=lambda i: (-covers[i], -(-1 if docs[i][2] is None else docs[i][2]), -i))[:7]
+        want += [(q, k + 1, i, covers[i]) for k, i in enumerate(best)]
+    assert whole == sorted(want)
+    monkeypatch.setattr(textindex, "DOCS", 5)
+    monkeypatch.setattr(textindex, "QUERIES", 1)
+    assert rank() == whole
+    assert "sum(" not in textindex.search(path, asked)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_stemmed_alike_in_tasks_and_in_spark(spark):
+    from touchline.operators import textindex
+
+    words = ["glasses", "ponies", "cats", "gas", "hoping", "sing", "sky", "happy", "was", "s", "the", "x1s", "1984s", "boss", "dressed", "eyed", "toys", ""]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select(textindex.stem(textindex.F.col("w"))).collect()
+    mine = dict(zip(words, textindex._stem_words(words), strict=True))
+    assert all(mine[w] == r[0] for w, r in zip(words, got, strict=True) if w and w not in textindex.STOP_WORDS)
+    assert mine["the"] is None and mine[""] is None

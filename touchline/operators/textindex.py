@@ -8,13 +8,22 @@ that it can meet: a search reads the buckets of its terms and no others.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from ..functions.text import tokens
+from ..functions.text import plain_letters, tokens
+from ..sources.store import written
 
 BUCKETS, PREFIX, DEPTH = 64, 3, 50
+#: Documents and queries of a block of a search.
+DOCS, QUERIES = 16_384, 8192
 #: English words that aren't indexed.
 STOP_WORDS = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those "
@@ -59,23 +68,69 @@ def live(spark: SparkSession, path: str) -> DataFrame:
     return newest.select("doc", "r.*").where("not deleted").drop("deleted")
 
 
-def add(docs: DataFrame, path: str, id_col: str, text_col: str, at_col: str | None = None, buckets: int = BUCKETS) -> int:
+def _stem_words(words: list[str]) -> list[str | None]:
+    """The same stems of distinct words, without Spark; None for stop words and for what is no word."""
+    out = []
+    for w in words:
+        if len(w) > 3 and re.search("(?:s|y|ing|ed)$", w):
+            stemmed = w
+            for pattern, stays in ENDINGS:
+                stemmed = re.sub(pattern, stays, stemmed)
+        else:
+            stemmed = w
+        out.append(None if not w or w in _STOP else stemmed)
+    return out
+
+
+_STOP = frozenset(STOP_WORDS)
+
+
+def _postings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, doc, places from (doc, text): each distinct word of a few texts is stemmed once, and a document's places are together already."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 1024):
+            part = batch.slice(start, 1024)
+            found = pc.split_pattern_regex(part.column("text").cast(pa.large_string()), "[^a-z0-9]+")
+            row = pc.list_parent_indices(found).to_numpy()
+            coded = found.flatten().dictionary_encode()
+            words, word = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            real = np.array([w != "" for w in words], bool)[word]
+            row, word = row[real], word[real]
+            at = np.arange(len(row)) - np.searchsorted(row, row)
+            names = _stem_words(words)
+            terms = sorted({x for x in names if x is not None})
+            number = {x: k for k, x in enumerate(terms)}
+            code = np.array([-1 if x is None else number[x] for x in names], np.int64)[word]
+            row, at, code = row[code >= 0], at[code >= 0], code[code >= 0]
+            order = np.lexsort((at, code, row))
+            row, at, code = row[order], at[order], code[order]
+            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])) if len(row) else np.zeros(0, np.int64)
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(at.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()).take(pa.array(code[first])), part.column("doc").take(pa.array(row[first])), places], ["term", "doc", "places"])
+
+
+def add(docs: DataFrame, path: str, id_col: str, text_col: str, at_col: str | None = None, buckets: int = BUCKETS, times: DataFrame | None = None) -> int:
     """A batch of documents enters the index, or replaces those with the same id; gives the batch's number.
 
     Rows with a null id are left out; of rows that share an id, one is taken (the newest, then the greatest text). A null text has no terms.
+    times: (doc, at), where the times stand in a table of their own; they never meet the texts then. Texts are shuffled only where ids repeat.
     """
     spark = docs.sparkSession
     number = (_docs(spark, path).agg(F.max("batch")).first()[0] or 0) + 1
     at = F.col(at_col).cast("timestamp_ntz") if at_col else F.lit(None).cast("timestamp_ntz")
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"), at.alias("at")).where("doc is not null")
-    slim = slim.groupBy("doc").agg(F.max(F.struct("at", "text")).alias("r")).select("doc", "r.*")
-    found = slim.select("doc", F.explode(stems(F.coalesce("text", F.lit("")))).alias("x")).select("x.term", "doc", "x.at").withColumn("bucket", bucket(F.col("term"), buckets))
+    again = written(slim.groupBy("doc").count().where("count > 1").select("doc"))
+    if not again.isEmpty():
+        both = slim.join(again, "doc", "left_semi").groupBy("doc").agg(F.max(F.struct("at", "text")).alias("r")).select("doc", "r.text", "r.at")
+        slim = slim.join(again, "doc", "left_anti").unionByName(both)
+    plain = slim.select("doc", F.coalesce(plain_letters(F.col("text")), F.lit("")).alias("text"))
+    found = plain.mapInArrow(_postings, "term string, doc bigint, places array<int>").withColumn("bucket", bucket(F.col("term"), buckets))
     spread = found.repartition("bucket", F.pmod("doc", F.lit(8)))  # a bucket's documents are dealt to tasks, so that none holds a frequent term alone
-    postings = spread.groupBy("bucket", F.pmod("doc", F.lit(8)).alias("part"), "term", "doc").agg(F.sort_array(F.collect_list("at")).alias("places")).select("term", "doc", F.lit(number).alias("batch"), "places", "bucket")
-    postings.write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
+    spread.select("term", "doc", F.lit(number).alias("batch"), "places", "bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
     new = spark.read.parquet(f"{path}/postings").where(F.col("batch") == number)
     new.groupBy("bucket", "term").agg(F.count("*").alias("n_docs")).select("term", "n_docs", F.lit(number).alias("batch"), "bucket").repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{path}/terms")
-    slim.select("doc", F.lit(number).alias("batch"), F.lit(False).alias("deleted"), "at").write.mode("append").parquet(f"{path}/docs")
+    own = slim.select("doc", "at") if times is None else slim.select("doc").join(times.select("doc", F.col("at").cast("timestamp_ntz").alias("at")).groupBy("doc").agg(F.max("at").alias("at")), "doc", "left")
+    own.select("doc", F.lit(number).alias("batch"), F.lit(False).alias("deleted"), "at").write.mode("append").parquet(f"{path}/docs")
     return number
 
 
@@ -103,11 +158,72 @@ def wanted(queries: DataFrame, q_col: str, text_col: str) -> DataFrame:
     return queries.select(F.col(q_col).alias("q"), F.explode(F.array_distinct(F.transform(stems(F.col(text_col)), lambda x: x["term"]))).alias("want"))
 
 
+def _doc_block(postings: pa.Table, docs: pa.Table) -> pa.Table:
+    """One row of a block: its live documents from the worst to the best of equal ones, and their postings by term (tid, off, doc, n) as bytes."""
+    doc, batch = docs.column("doc").to_numpy(), docs.column("batch").to_numpy()
+    at = docs.column("at").cast(pa.int64())
+    known, at = at.is_valid().to_numpy(), at.fill_null(0).to_numpy()
+    order = np.lexsort((doc, at, known))
+    place = np.empty(len(doc), np.int64)
+    place[order] = np.arange(len(doc))
+    by_id = np.argsort(doc)
+    tid, own, n = (postings.column(c).to_numpy() for c in ("tid", "doc", "n"))
+    where = by_id[np.minimum(np.searchsorted(doc[by_id], own), max(0, len(doc) - 1))] if len(doc) else np.zeros(len(own), np.int64)
+    live = (doc[where] == own) & (batch[where] == postings.column("batch").to_numpy()) if len(doc) else np.zeros(len(own), bool)
+    tid, where, n = tid[live], place[where[live]], n[live]
+    up = np.argsort(tid, kind="stable")
+    terms, off = np.unique(tid[up], return_index=True)
+    raw = [doc[order].astype(np.int64), terms.astype(np.int64), np.append(off, len(up)).astype(np.int64), where[up].astype(np.int32), n[up].astype(np.int32)]
+    return pa.table({name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("docs", "tid", "off", "place", "n"), raw, strict=True)})
+
+
+def _query_block(_key: tuple, rows: pa.Table) -> pa.Table:
+    q, tid = rows.column("q").to_numpy(), rows.column("tid").to_numpy()
+    order = np.lexsort((tid, q))
+    one, off = np.unique(q[order], return_index=True)
+    raw = [one.astype(np.int64), np.append(off, len(q)).astype(np.int64), tid[order].astype(np.int64)]
+    return pa.table({name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("q", "q_off", "q_tid"), raw, strict=True)})
+
+
+def _score(depth: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                docs, tid, off, q, q_off, q_tid = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in ("docs", "tid", "off", "q", "q_off", "q_tid"))
+                place, n = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int32) for c in ("place", "n"))
+                if not len(tid):
+                    continue
+                at = np.minimum(np.searchsorted(tid, q_tid), len(tid) - 1)
+                hit = tid[at] == q_tid
+                out = []
+                for j, one in enumerate(q.tolist()):
+                    part = slice(q_off[j], q_off[j + 1])
+                    mine = at[part][hit[part]]
+                    size = off[mine + 1] - off[mine]
+                    if not size.sum():
+                        continue
+                    take = np.repeat(off[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    covers = np.bincount(place[take], weights=n[take], minlength=len(docs)).astype(np.int64)
+                    key = covers * len(docs) + np.arange(len(docs))  # of equal covers, the later place is the better one
+                    best = np.flatnonzero(covers)
+                    if len(best) > depth:
+                        best = best[np.argpartition(key[best], len(best) - depth)[len(best) - depth :]]
+                    out.append((np.full(len(best), one), docs[best], covers[best]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["q", "id", "covers"])
+
+    return run
+
+
 def search(path: str, queries: DataFrame, q_col: str = "q", text_col: str = "text", depth: int = DEPTH, buckets: int = BUCKETS) -> DataFrame:
     """Each query's documents with any of its stems (as prefixes from PREFIX letters on): q, place, id, covers, at.
 
     covers is the number of places that match, each of them a cover of an OR query. Most covers first, then the newest, then the
     greatest id. The buckets' numbers (at most buckets of them) come to the driver, so that only their files are read.
+
+    Documents are dealt into blocks, with the postings that any query meets, and queries into blocks too, which are broadcast (eight bytes
+    for each query and term that it meets). A task counts each query's covers over its block of documents and gives its best ones
+    alone: pairs of queries and documents are never rows.
     """
     spark = queries.sparkSession
     terms = wanted(queries, q_col, text_col).withColumn("first", F.left("want", F.lit(PREFIX)))
@@ -115,8 +231,17 @@ def search(path: str, queries: DataFrame, q_col: str = "q", text_col: str = "tex
     inside = F.col("bucket").isin(read) if read else F.lit(False)
     known = spark.read.parquet(f"{path}/terms").where(inside).select("term", F.left("term", F.lit(PREFIX)).alias("first")).distinct()
     meets = F.when(F.length("want") >= PREFIX, F.col("term").startswith(F.col("want"))).otherwise(F.col("term") == F.col("want"))
-    met = known.join(terms, "first").where(meets).select("q", "term").distinct()
-    hits = spark.read.parquet(f"{path}/postings").where(inside).join(met, "term").groupBy("q", "doc", "batch").agg(F.sum(F.size("places")).alias("covers"))
-    found = hits.join(live(spark, path), ["doc", "batch"]).withColumnRenamed("doc", "id")
+    met = written(known.join(terms, "first").where(meets).select("q", "term").distinct())
+    numbers = written(met.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()))
+    now = live(spark, path)
+    n_blocks = max(spark.sparkContext.defaultParallelism, -(-now.count() // DOCS))
+    block = F.pmod(F.xxhash64("doc"), F.lit(n_blocks)).alias("block")
+    hits = spark.read.parquet(f"{path}/postings").where(inside).join(numbers, "term").select(block, "tid", "doc", "batch", F.size("places").alias("n"))
+    blocks = hits.repartition(n_blocks, "block").groupBy("block").cogroup(now.select(block, "doc", "batch", "at").repartition(n_blocks, "block").groupBy("block"))
+    blocks = blocks.applyInArrow(_doc_block, "docs binary, tid binary, off binary, place binary, n binary")
+    dealt = met.join(numbers, "term").select("q", "tid").withColumn("part", F.pmod(F.xxhash64("q"), F.lit(met.select("q").distinct().count() // QUERIES + 1)))
+    asked = written(dealt.groupBy("part").applyInArrow(_query_block, "q binary, q_off binary, q_tid binary"))
+    near = blocks.crossJoin(F.broadcast(asked)).mapInArrow(_score(depth), "q bigint, id bigint, covers bigint")
+    found = near.join(now.select(F.col("doc").alias("id"), "at"), "id")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("covers"), F.desc_nulls_last("at"), F.desc("id")))
     return found.select("q", place.cast("bigint").alias("place"), "id", "covers", "at").where(F.col("place") <= depth)

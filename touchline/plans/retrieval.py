@@ -40,8 +40,8 @@ _RANKED = f"""words AS (SELECT doc_id AS id, term, count(*) AS n FROM ({_stems("
 def indexed(spark: SparkSession, sf: str) -> str:
     """The path of the index of all documents, written once in a session."""
     docs = table(spark, sf, "documents")
-    dated = docs.join(table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), "ts"), "doc_id", "left")
-    return store.kept(docs, "textindex", lambda path: textindex.add(dated, path, "doc_id", "text", "ts"))
+    times = table(spark, sf, "events").select(F.col("event_id").alias("doc"), F.col("ts").alias("at"))
+    return store.kept(docs, "textindex", lambda path: textindex.add(docs, path, "doc_id", "text", times=times))
 
 
 def texts_asked(spark: SparkSession, sf: str) -> DataFrame:
