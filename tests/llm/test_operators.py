@@ -193,6 +193,25 @@ def test_what_tasks_learn_from_grows_with_the_texts():
     assert max(int(w[1:]) for x in many.to_pylist() for w in x.split() if w[0] == "w") > 30_000
 
 
+def test_tasks_learn_from_every_subword(docs, monkeypatch):
+    """Every subword of every training text, and its end, is learned from once; in whatever parts and partitions."""
+    learned, learn = [], lm_scoring._learn_all
+    monkeypatch.setattr(lm_scoring, "_learn_all", lambda *args: learned.append(learn(*args)))
+    lm_scoring.score(docs)
+    texts = [t or "" for i, t in corpus() if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    assert learned == [len(lm_scoring.encode(pa.array(texts), lm_scoring.splitter(lm_scoring.DEFAULT_RANKS)).ids)]
+
+
+def test_windows_that_go_on_with_a_text_learn_without_their_overlap():
+    """Loss and gradients are those with the overlap asked too, since nothing is scored there."""
+    net, r = lm_scoring.Attention(), np.random.default_rng(6)
+    rows, classes = r.integers(0, 1000, (5, lm_scoring.WINDOW)), r.integers(0, lm_scoring.INSIDE, (5, lm_scoring.WINDOW))
+    is_first, scored = r.random(rows.shape) < 0.4, r.random(rows.shape) < 0.8
+    scored[:, : lm_scoring.OVERLAP] = False
+    (loss, g), (short, h) = net.step(rows, classes, is_first, scored), net.step(rows, classes, is_first, scored, lm_scoring.OVERLAP)
+    assert short == pytest.approx(loss) and all(np.allclose(g[k], h[k], rtol=1e-4, atol=1e-6) for k in g)
+
+
 def test_the_fitting_sample_is_bounded_without_ids(spark, monkeypatch):
     sizes, fit = [], lm_scoring.Attention.fit
     monkeypatch.setattr(lm_scoring, "FIT_TEXTS", 20)
