@@ -55,7 +55,7 @@ def _ranked(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n_places FROM ({_stems("documents", "doc_id", "text")}) GROUP BY 1) SELECT * FROM t""")
 def index_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and places of each stem, from the stored postings."""
-    return spark.read.parquet(f"{indexed(spark, sf)}/postings").groupBy("term").agg(F.count("*").alias("n_docs"), F.sum(F.size("places")).alias("n_places"))
+    return textindex.term_counts(spark, indexed(spark, sf))
 
 
 @query(f"WITH {_RANKED} SELECT * FROM ranked")
