@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 
 from touchline.operators import textindex
+from touchline.plans import retrieval
 from touchline.sources import store
 
 
@@ -40,3 +41,9 @@ def test_packs_hold_every_posting_and_compaction_leaves_dead_documents_out(spark
 def test_an_index_without_any_term_is_searched(spark, tmp_path):
     textindex.add(spark.createDataFrame([(1, None, None)], "id long, text string, at timestamp_ntz"), str(tmp_path / "index"), "id", "text", "at")
     assert textindex.search(str(tmp_path / "index"), spark.createDataFrame([(1, "bridge")], "q long, text string")).collect() == []
+
+
+def test_each_leg_of_a_mode_is_searched_once(spark):
+    """The legs are tables when they are fused; before, what counts the legs and what fuses them searched once each."""
+    for name in ("fulltext_mode", "hybrid_search"):
+        assert "MapInArrow" not in retrieval.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()

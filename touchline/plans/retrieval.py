@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import search, textindex, vectors
 from ..sources import store
+from ..sources.store import written
 from ..sources.tables import table
 from .analysis import COS, NORM, asked
 from .registry import Registry
@@ -67,12 +68,11 @@ def fulltext_ranked(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid(text_leg: DataFrame | None, vector_leg: DataFrame | None, queries: DataFrame, limit: int) -> DataFrame:
     """q, place, id, score, legs: the legs that are given, fused. A query whose vector leg is empty degrades to full text, and the other
     way round; legs names those that answered. One leg alone is the mode fulltext or vector."""
-    both = [leg for leg in (text_leg, vector_leg) if leg is not None]
-    answered = None
-    for name, leg in (("fulltext", text_leg), ("vector", vector_leg)):
-        if leg is not None:
-            own = leg.select("q").distinct().withColumn("leg", F.lit(name))
-            answered = own if answered is None else answered.union(own)
+    given = [(name, written(leg)) for name, leg in (("fulltext", text_leg), ("vector", vector_leg)) if leg is not None]  # searched once, read twice
+    both, answered = [leg for _, leg in given], None
+    for name, leg in given:
+        own = leg.select("q").distinct().withColumn("leg", F.lit(name))
+        answered = own if answered is None else answered.union(own)
     legs = answered.groupBy("q").agg(F.array_join(F.sort_array(F.collect_set("leg")), ",").alias("legs"))
     fused = search.fuse(both, ["q"]).withColumn("score", F.round("score", 9))
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "best", F.desc("id"))).cast("bigint")
