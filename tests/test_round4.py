@@ -43,6 +43,13 @@ def test_an_index_without_any_term_is_searched(spark, tmp_path):
     assert textindex.search(str(tmp_path / "index"), spark.createDataFrame([(1, "bridge")], "q long, text string")).collect() == []
 
 
+def test_a_bucket_whose_postings_meet_no_word(spark, tmp_path):
+    """The word's bucket is read, and nothing there begins with it."""
+    textindex.add(spark.createDataFrame([(1, "cat cats", None)], "id long, text string, at timestamp_ntz"), str(tmp_path / "index"), "id", "text", "at")
+    asked = spark.createDataFrame([(1, "catnip"), (2, "ca"), (3, "ca cat")], "q long, text string")
+    assert [tuple(r)[:4] for r in textindex.search(str(tmp_path / "index"), asked).collect()] == [(3, 1, 1, 2)]
+
+
 def test_each_leg_of_a_mode_is_searched_once(spark):
     """The legs are tables when they are fused; before, what counts the legs and what fuses them searched once each."""
     for name in ("fulltext_mode", "hybrid_search"):

@@ -24,7 +24,7 @@ from ..sources.store import written
 
 BUCKETS, PREFIX, DEPTH = 64, 3, 50
 #: Documents and queries of a block of a search, and postings that are matched at once.
-DOCS, QUERIES, POSTINGS = 16_384, 8192, 1 << 18
+DOCS, QUERIES, POSTINGS = 4096, 8192, 1 << 17
 #: A pack: its terms, its documents (doc is the first one) and their hashes; of each posting, as bytes, the numbers of its term and document, how many places it has, and these.
 PACK = "bucket int, batch int, doc bigint, terms array<string>, docs array<bigint>, hashes array<bigint>, term_no binary, doc_no binary, n binary, places binary"
 #: English words that aren't indexed.
@@ -112,7 +112,7 @@ def _packs(buckets: int, batch: int):
     """Packs from (doc, hash, text): each distinct word of a few texts is stemmed once, and a document's places are together already."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (whole.slice(start, 1024) for whole in batches for start in range(0, whole.num_rows, 1024)):
+        for part in (whole.slice(start, 512) for whole in batches for start in range(0, whole.num_rows, 512)):
             found = pc.split_pattern_regex(part.column("text").cast(pa.large_string()), "[^a-z0-9]+")
             row = pc.list_parent_indices(found).to_numpy()
             coded = found.flatten().dictionary_encode()
@@ -278,6 +278,8 @@ def _matched(n_blocks: int):
             first = np.searchsorted(term, np.arange(len(terms) + 1))
             size = np.diff(first)[code]
             at = np.repeat(np.arange(len(code)), size)
+            if not len(at):
+                continue
             tid = (packs[0].column("bucket")[0].as_py() << 32) + met[np.repeat(first[code] - (np.cumsum(size) - size), size) + np.arange(len(at))]
             block = (hashes.to_numpy() % n_blocks).astype(np.int32)[own[at]]
             order = np.argsort(block, kind="stable")
@@ -299,12 +301,18 @@ def _doc_block(postings: pa.Table, docs: pa.Table) -> pa.Table:
     place = np.empty(len(doc), np.int64)
     place[order] = np.arange(len(doc))
     by_id = np.argsort(doc)
-    kinds = {"tid": np.int64, "doc": np.int64, "batch": np.int32, "n": np.int32}
-    tid, own, number, n = (np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in postings.column(c))]) for c, kind in kinds.items())
-    where = by_id[np.minimum(np.searchsorted(doc[by_id], own), max(0, len(doc) - 1))] if len(doc) else np.zeros(len(own), np.int64)
-    live = (doc[where] == own) & (batch[where] == number) if len(doc) else np.zeros(len(own), bool)
-    bits = len(doc).bit_length()
-    key, n = (tid[live] << bits) + place[where[live]], n[live]
+    mine, bits = doc[by_id], len(doc).bit_length()
+    keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for part in postings.to_batches() if len(doc) else []:
+        for row in (part.slice(k, 1) for k in range(part.num_rows)):
+            tid, own = (_numbers(row, c, np.int64) for c in ("tid", "doc"))
+            number, n = (_numbers(row, c, np.int32) for c in ("batch", "n"))
+            where = by_id[np.minimum(np.searchsorted(mine, own), len(doc) - 1)]
+            live = (doc[where] == own) & (batch[where] == number)
+            keys.append((tid[live] << bits) + place[where[live]])
+            counts.append(n[live])
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    del keys, counts
     up = np.argsort(key)
     key = key[up]
     first = np.flatnonzero(np.diff(key, prepend=-1))  # a document counts once for a want, with all its terms
