@@ -3,9 +3,11 @@
 from pyspark.sql import DataFrame
 
 from touchline.operators import textindex
-from touchline.plans import retrieval
+from touchline.plans import facts, retrieval
 from touchline.sources import store
 
+from test_round3 import both
+
 
 def test_search_writes_no_pairs_of_queries_and_terms(spark, tmp_path, monkeypatch):
     """80 queries ask for a stem that 90 terms begin with: their 7,200 pairs were rows of a table before."""
@@ -54,3 +56,10 @@ def test_each_leg_of_a_mode_is_searched_once(spark):
     """The legs are tables when they are fused; before, what counts the legs and what fuses them searched once each."""
     for name in ("fulltext_mode", "hybrid_search"):
         assert "MapInArrow" not in retrieval.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_member_rows_add_orders_whose_keys_are_null_or_repeat(spark, tmp_path):
+    """Every order counts: before, one key for several orders left some out, and orders without a key gave no total."""
+    orders = "SELECT CASE WHEN i % 3 = 0 THEN NULL WHEN i % 3 = 1 THEN i // 8 ELSE i END AS o_orderkey, i % 7 AS o_custkey, 'P' AS o_orderstatus, i + 0.25::DOUBLE AS o_totalprice FROM range(96) r(i) UNION ALL SELECT NULL, 8, 'O', 5"
+    got, want = both(spark, tmp_path, facts, "member_rows", customer="SELECT i AS c_custkey, 1.5::DOUBLE AS c_acctbal FROM range(10) r(i)", orders=orders)
+    assert got == want and len(got) == 8

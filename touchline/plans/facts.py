@@ -29,11 +29,11 @@ def joined(c: Column) -> Column:
 @query("""SELECT c_custkey AS member, CAST(round(sum(o_totalprice)) AS BIGINT) AS points, CAST(coalesce(count(*) FILTER (o_orderstatus = 'P'), 0) AS BIGINT) AS cost, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS rank
   FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey, c_acctbal HAVING sum(o_totalprice) IS NOT NULL""")
 def member_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Members with points; a missing cost is 0, a rank of 0 or less is none. Prices are added in the order of the orders' keys, so that a sum
-    that ends in a half is rounded the same way however the table is dealt out. Equal rows of a member count as often as they are there."""
-    so_far = F.sum("o_totalprice").over(Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", so_far.alias("so_far"))
-    o = o.groupBy("o_custkey").agg(F.max_by("so_far", "o_orderkey").alias("total"), F.count_if(F.col("o_orderstatus") == "P").alias("cost"))
+    """Members with points; a missing cost is 0, a rank of 0 or less is none. Prices are added in the order of the orders' keys (then of prices), so that a
+    sum that ends in a half is rounded the same way however the table is dealt out. Equal rows of a member count as often as they are there."""
+    by_key = Window.partitionBy("o_custkey").orderBy("o_orderkey", "o_totalprice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", F.sum("o_totalprice").over(by_key).alias("so_far"), F.count("*").over(by_key).alias("nth"))
+    o = o.groupBy("o_custkey").agg(F.max_by("so_far", "nth").alias("total"), F.count_if(F.col("o_orderstatus") == "P").alias("cost"))
     c = table(spark, sf, "customer").groupBy("c_custkey", "c_acctbal").agg(F.count("*").alias("n"))
     c = c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").where("total is not null")
     points, cost = F.round(F.col("total") * F.col("n")).cast("bigint"), F.coalesce(F.col("cost") * F.col("n"), F.lit(0)).cast("bigint")
